@@ -146,8 +146,7 @@ def ngrams(text: Column, n: int) -> Column:
 def jaccard(a: Column, b: Column) -> Column:
     """Jaccard index of two arrays without duplicates; 1 when both are empty."""
     shared = F.size(F.array_intersect(a, b))
-    union = F.size(a) + F.size(b) - shared
-    return F.when(union == 0, F.lit(1.0)).otherwise(shared / union)
+    return F.coalesce(F.try_divide(shared, F.size(F.array_union(a, b))), F.lit(1.0))
 
 
 def weighted_mean(values: Sequence[Column], weights: Sequence[float] | None = None) -> Column:
