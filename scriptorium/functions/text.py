@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import lru_cache
 
 from pyspark.sql import Column
@@ -88,7 +88,8 @@ def fold_accents(text: Column) -> Column:
     Letters without a decomposition (``ß œ æ ø ł``) stay.
     """
     accented, plain = accent_table()
-    return F.regexp_replace(F.translate(text, accented, plain), r"\p{Mn}+", "")
+    folded_text = F.regexp_replace(F.translate(text, accented, plain), r"\p{Mn}+", "")
+    return F.when(text.rlike(r"[^\x00-\x7F]"), folded_text).otherwise(text)
 
 
 def folded(text: Column) -> Column:
@@ -96,6 +97,11 @@ def folded(text: Column) -> Column:
     return fold_accents(F.lower(text))
 
 
+def _with(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def blank_to_null(text: Column) -> Column:
     return F.nullif(F.trim(text), F.lit(""))
 
@@ -197,18 +203,25 @@ def user_type(username: Column) -> Column:
 
 def action_category(action: Column) -> Column:
     """One of eight activity classes, by the first pattern that matches."""
-    text = folded(action)
-    out = F.lit(ACTION_OTHER)
-    for label, pattern in reversed(ACTION_PATTERNS):
-        out = F.when(text.rlike(pattern), F.lit(label)).otherwise(out)
-    return out
+
+    def classify(text: Column) -> Column:
+        out = F.lit(ACTION_OTHER)
+        for label, pattern in reversed(ACTION_PATTERNS):
+            out = F.when(text.rlike(pattern), F.lit(label)).otherwise(out)
+        return out
+
+    return _with(folded(action), classify)
 
 
 def respondent_id(action: Column, username: Column) -> Column:
     """Respondent named by the action, else ``user:<name>``."""
-    text = folded(action)
-    found = [F.nullif(F.regexp_extract(text, p, 1), F.lit("")) for p in RESPONDENT_PATTERNS]
-    return F.coalesce(*found, F.concat(F.lit("user:"), username))
+
+    def named(text: Column) -> Column:
+        return F.coalesce(
+            *[F.nullif(F.regexp_extract(text, p, 1), F.lit("")) for p in RESPONDENT_PATTERNS]
+        )
+
+    return F.coalesce(_with(folded(action), named), F.concat(F.lit("user:"), username))
 
 
 def extract_dois(text: Column) -> Column:

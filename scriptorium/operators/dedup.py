@@ -66,7 +66,7 @@ def event_id(namespace: str, columns: Sequence[str] = ("entity", "field", "from"
 
     ``namespace`` is a UUID.  Canonical JSON has sorted keys and no spaces.
     """
-    payload = F.to_json(F.struct(*[F.col(f"`{c}`").cast("string") for c in sorted(columns)]))
+    payload = F.to_json(F.struct(*[F.col(f"`{c}`").cast("string").alias(c) for c in sorted(columns)]))
     prefix = bytes.fromhex(namespace.replace("-", ""))
     digest = F.sha1(F.concat(F.lit(prefix), F.encode(payload, "UTF-8")))
     variant = F.translate(digest.substr(17, 1), "0123456789abcdef", "89ab" * 4)

@@ -372,14 +372,14 @@ def works_band(count: Column) -> Column:
 
 # ---- activity logs -------------------------------------------------------------------
 def clean_logs(raw: DataFrame) -> DataFrame:
-    """Entries with a readable timestamp; user lower-cased and trimmed; classes added."""
+    """Entries with a readable timestamp (to the millisecond), clean user, and classes."""
     stamp = (
         F.try_to_timestamp("timestamp")
         if dict(raw.dtypes)["timestamp"] == "string"
         else F.col("timestamp").cast("timestamp")
     )
     return (
-        raw.withColumn("timestamp", stamp)
+        raw.withColumn("timestamp", F.date_trunc("millisecond", stamp))
         .where(F.col("timestamp").isNotNull())
         .withColumn("username", F.trim(F.lower("username")))
         .withColumn("user_type", text.user_type(F.col("username")))
