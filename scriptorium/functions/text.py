@@ -139,14 +139,15 @@ def edit_similarity(a: Column, b: Column) -> Column:
 
 def ngrams(text: Column, n: int) -> Column:
     """Distinct lower-case character n-grams; empty when the text is shorter than n."""
-    low = F.lower(text)
-    count = F.length(low) - (n - 1)
-    grams = F.transform(
-        F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: low.substr(i, F.lit(n))
-    )
-    return F.when(count >= 1, F.array_distinct(grams)).otherwise(
-        F.array().cast("array<string>")
-    )
+
+    def grams(low: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.length(low) - (n - 1))
+        return F.when(
+            F.length(low) >= n,
+            F.array_distinct(F.transform(starts, lambda i: low.substr(i, F.lit(n)))),
+        ).otherwise(F.array().cast("array<string>"))
+
+    return _with(F.lower(text), grams)
 
 
 def jaccard(a: Column, b: Column) -> Column:

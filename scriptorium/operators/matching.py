@@ -52,7 +52,8 @@ def match_researchers(
     the weighted mean of the TF-IDF and embedding cosines; complementarity rewards shared
     context with distant topics.
     """
-    pairs = neighbours.similar_profiles(profiles, min_similarity, key)
+    # The pairs feed the level scores twice; profiles should come from a written table.
+    pairs = materialize(neighbours.similar_profiles(profiles, min_similarity, key), "pairs")
     levels = neighbours.level_similarities(pairs, profiles, key, keywords)
     names = neighbours.LEVELS if keywords else neighbours.LEVELS[:-1]
     for side in ("a", "b"):
@@ -480,23 +481,18 @@ def match_references(
     title_grams = titles.select(
         *owner, "work_id", F.size("_grams").alias("_n"), F.explode("_grams").alias("gram")
     )
-    wanted = title_grams.select(*owner, "gram").distinct()
-    frequency = (
-        postings.join(wanted, [*owner, "gram"], "left_semi")
-        .groupBy(*owner, "gram")
-        .agg(F.count(F.lit(1)).alias("_df"))
-    )
+    # How often a trigram occurs in titles stands in for its frequency in segments: the
+    # choice of prefix affects cost only, and the far larger segments are not counted.
+    frequency = title_grams.groupBy(*owner, "gram").agg(F.count(F.lit(1)).alias("_df"))
     needed = F.floor(F.lit(limit) * F.col("_n") + 1e-9) + 1
     rarest = Window.partitionBy(*owner, "work_id").orderBy("_df", "gram")
     rare = (
-        title_grams.join(frequency, [*owner, "gram"], "left")
-        .withColumn("_df", F.coalesce("_df", F.lit(0)))
+        title_grams.join(frequency, [*owner, "gram"])
         .withColumn("_rank", F.row_number().over(rarest))
         .where(F.col("_rank") <= needed)
     )
     candidates = (
-        rare.where(F.col("_df") > 0)
-        .select(*owner, "work_id", "gram")
+        rare.select(*owner, "work_id", "gram")
         .join(postings, [*owner, "gram"])
         .select(*owner, "work_id", "segment_id")
         .distinct()
