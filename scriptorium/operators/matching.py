@@ -464,8 +464,9 @@ def match_references(
     match nothing.
 
     Exact blocking: a title of n trigrams within the limit misses at most
-    ``floor(limit * n)`` of them, so at least one of any ``floor(limit * n) + 1`` is in
-    the segment.  Only the rarest ones look for segments.
+    ``m = floor(limit * n)`` of them, so of any ``m + c`` trigrams at least c are in the
+    segment.  Only the rarest ``m + c`` look for segments, with c a quarter of n, and
+    only segments they hit c times are compared whole.
     """
     owner = list(owner)
     gram = REFERENCE_GRAM
@@ -484,18 +485,21 @@ def match_references(
     # How often a trigram occurs in titles stands in for its frequency in segments: the
     # choice of prefix affects cost only, and the far larger segments are not counted.
     frequency = title_grams.groupBy(*owner, "gram").agg(F.count(F.lit(1)).alias("_df"))
-    needed = F.floor(F.lit(limit) * F.col("_n") + 1e-9) + 1
+    missing = F.floor(F.lit(limit) * F.col("_n") + 1e-9)
+    hits = F.greatest(F.least(F.ceil(F.col("_n") / 4), F.col("_n") - missing), F.lit(1))
     rarest = Window.partitionBy(*owner, "work_id").orderBy("_df", "gram")
     rare = (
         title_grams.join(frequency, [*owner, "gram"])
         .withColumn("_rank", F.row_number().over(rarest))
-        .where(F.col("_rank") <= needed)
+        .where(F.col("_rank") <= missing + hits)
+        .select(*owner, "work_id", "gram", hits.alias("_hits"))
     )
     candidates = (
-        rare.select(*owner, "work_id", "gram")
-        .join(postings, [*owner, "gram"])
+        rare.join(postings, [*owner, "gram"])
+        .groupBy(*owner, "work_id", "segment_id", "_hits")
+        .agg(F.count(F.lit(1)).alias("_found"))
+        .where(F.col("_found") >= F.col("_hits"))
         .select(*owner, "work_id", "segment_id")
-        .distinct()
     )
     absent = F.size(F.array_except("_grams", "_line")) / F.size("_grams")
     return (
