@@ -162,7 +162,7 @@ _DIMS_SQL = """dims AS (
 @query(
     "f29_profile_dims",
     f"""WITH {sql.LINKS}, {sql.TOPICS}, {sql.KEYWORDS}, {_DIMS_SQL}
-    SELECT author_id AS researcher_id, dim, min(label) AS label, round(sum(score), 4) AS total, count(*) AS n
+    SELECT author_id AS researcher_id, dim, min(label) AS label, round(sum(score), 4) AS total
     FROM dims GROUP BY author_id, dim""",
 )
 def f29(spark, sf):
@@ -174,7 +174,6 @@ def f29(spark, sf):
     return dims.groupBy("researcher_id", "dim").agg(
         F.min("label").alias("label"),
         F.round(F.sum("score"), 4).alias("total"),
-        F.count(F.lit(1)).alias("n"),
     )
 
 

@@ -145,9 +145,9 @@ def r7(spark, sf):
 
 @query(
     "r8_watermark_changes",
-    """WITH d AS (SELECT concat('p', o_custkey % 50) AS pipeline, o_orderkey AS at, CASE WHEN o_orderstatus = 'P' THEN '{}' ELSE concat('{"works": "', year(o_orderdate), '"}') END AS doc FROM orders),
-    l AS (SELECT *, lag(doc) OVER (PARTITION BY pipeline ORDER BY at) AS before FROM d)
-    SELECT pipeline, doc AS run_key, at FROM l WHERE doc <> '{}' AND (before IS NULL OR before <> doc)""",
+    """WITH d AS (SELECT concat('p', o_custkey % 50) AS pipeline, o_orderkey AS "at", CASE WHEN o_orderstatus = 'P' THEN '{}' ELSE concat('{"works": "', year(o_orderdate), '"}') END AS doc FROM orders),
+    l AS (SELECT *, lag(doc) OVER (PARTITION BY pipeline ORDER BY "at") AS prev FROM d)
+    SELECT pipeline, doc AS run_key, "at" FROM l WHERE doc <> '{}' AND (prev IS NULL OR prev <> doc)""",
 )
 def r8(spark, sf):
     documents = adapters.table(spark, sf, "orders").select(

@@ -69,15 +69,24 @@ def researcher_labels(
     links = authorships.select("work_id", "author_id").distinct()
     if opposed is not None:
         links = reshape.purge(links, opposed)
-    return (
-        labels.join(links, "work_id")
+    # A label counts once per work, so after this sum a plain count is the distinct count.
+    per_work = labels.groupBy("work_id", "kind", "label_id").agg(F.sum("score").alias("score"))
+    weights = (
+        per_work.join(links, "work_id")
         .groupBy("author_id", "kind", "label_id")
-        .agg(
-            F.min("label").alias("label"),
-            F.sum("score").alias("weight"),
-            F.countDistinct("work_id").alias("freq"),
-        )
+        .agg(F.sum("score").alias("weight"), F.count(F.lit(1)).alias("freq"))
     )
+    return weights.join(_names(labels, ["kind", "label_id"], "label"), ["kind", "label_id"]).select(
+        "author_id", "kind", "label_id", "label", "weight", "freq"
+    )
+
+
+def _names(df: DataFrame, keys: Sequence[str], label: str) -> DataFrame:
+    """One label per key.
+
+    Kept out of the big aggregations: a string minimum would force them to sort.
+    """
+    return df.select(*keys, label).distinct().groupBy(*keys).agg(F.min(label).alias(label))
 
 
 def author_profiles(
@@ -85,14 +94,17 @@ def author_profiles(
 ) -> DataFrame:
     """Subfield profile of an author: sum of topic scores and number of works."""
     links = authorships.select("work_id", "author_id").distinct()
+    known = topics.where(F.col("subfield_id").isNotNull())
+    per_work = known.groupBy("work_id", "subfield_id").agg(F.sum("score").alias("score"))
+    names = _names(
+        known.withColumnRenamed("subfield_display_name", "subfield"), ["subfield_id"], "subfield"
+    )
     return (
-        author_subfields(links, topics, scope, opposed)
+        author_subfields(links, per_work, scope, opposed)
         .groupBy("author_id", "subfield_id")
-        .agg(
-            F.min("subfield_display_name").alias("subfield"),
-            F.sum("score").alias("weight"),
-            F.countDistinct("work_id").alias("freq"),
-        )
+        .agg(F.sum("score").alias("weight"), F.count(F.lit(1)).alias("freq"))
+        .join(names, "subfield_id")
+        .select("author_id", "subfield_id", "subfield", "weight", "freq")
     )
 
 
@@ -342,8 +354,8 @@ def id_verdict(events: DataFrame) -> DataFrame:
 # ---- profiles and vectors ------------------------------------------------------------
 def tfidf(dims: DataFrame, key: str = "researcher_id") -> DataFrame:
     """Term weight times smoothed inverse document frequency ``ln(N / (df + 1) + 1)``."""
-    tf = dims.groupBy(key, "dim").agg(F.sum("score").alias("tf"), F.max("label").alias("label"))
-    df = tf.groupBy("dim").agg(F.count(F.lit(1)).alias("df"))
+    tf = dims.groupBy(key, "dim").agg(F.sum("score").alias("tf"))
+    df = tf.groupBy("dim").agg(F.count(F.lit(1)).alias("df")).join(_names(dims, ["dim"], "label"), "dim")
     n = dims.agg(F.countDistinct(key).alias("n")).scalar()
     idf = F.log(n / (F.col("df") + 1) + 1)
     return tf.join(df, "dim").select(key, "dim", "label", (F.col("tf") * idf).alias("weight"))

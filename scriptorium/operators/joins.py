@@ -176,9 +176,7 @@ def author_subfields(
         links = links.join(
             opposed.select("author_id", "work_id"), ["author_id", "work_id"], "left_anti"
         )
-    return links.join(
-        in_scope.select("work_id", "subfield_id", "subfield_display_name", "score"), "work_id"
-    )
+    return links.join(in_scope.select("work_id", "subfield_id", "score"), "work_id")
 
 
 def serving_rows(documents: DataFrame, vectors: DataFrame) -> DataFrame:
