@@ -76,12 +76,12 @@ def researcher_labels(
         .groupBy("author_id", "kind", "label_id")
         .agg(F.sum("score").alias("weight"), F.count(F.lit(1)).alias("freq"))
     )
-    return weights.join(_names(labels, ["kind", "label_id"], "label"), ["kind", "label_id"]).select(
+    return weights.join(names_of(labels, ["kind", "label_id"], "label"), ["kind", "label_id"]).select(
         "author_id", "kind", "label_id", "label", "weight", "freq"
     )
 
 
-def _names(df: DataFrame, keys: Sequence[str], label: str) -> DataFrame:
+def names_of(df: DataFrame, keys: Sequence[str], label: str) -> DataFrame:
     """One label per key.
 
     Kept out of the big aggregations: a string minimum would force them to sort.
@@ -96,7 +96,7 @@ def author_profiles(
     links = authorships.select("work_id", "author_id").distinct()
     known = topics.where(F.col("subfield_id").isNotNull())
     per_work = known.groupBy("work_id", "subfield_id").agg(F.sum("score").alias("score"))
-    names = _names(
+    names = names_of(
         known.withColumnRenamed("subfield_display_name", "subfield"), ["subfield_id"], "subfield"
     )
     return (
@@ -355,7 +355,7 @@ def id_verdict(events: DataFrame) -> DataFrame:
 def tfidf(dims: DataFrame, key: str = "researcher_id") -> DataFrame:
     """Term weight times smoothed inverse document frequency ``ln(N / (df + 1) + 1)``."""
     tf = dims.groupBy(key, "dim").agg(F.sum("score").alias("tf"))
-    df = tf.groupBy("dim").agg(F.count(F.lit(1)).alias("df")).join(_names(dims, ["dim"], "label"), "dim")
+    df = tf.groupBy("dim").agg(F.count(F.lit(1)).alias("df")).join(names_of(dims, ["dim"], "label"), "dim")
     n = dims.agg(F.countDistinct(key).alias("n")).scalar()
     idf = F.log(n / (F.col("df") + 1) + 1)
     return tf.join(df, "dim").select(key, "dim", "label", (F.col("tf") * idf).alias("weight"))
