@@ -7,7 +7,10 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from scriptorium.llm import common, sentencepiece_bpe
+from pyspark.sql import functions as F
+
+from scriptorium.llm import common, packing, sentencepiece_bpe, token_planes
+from scriptorium.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -30,3 +33,29 @@ def op1(spark, sf):
     return sentencepiece_bpe.digest_documents(
         common.documents(spark, sf), public_tokenizers.path("piece_bpe_32k.model")
     )
+
+
+@query("op4_token_planes")
+def op4(spark, sf):
+    path = scratch_path(spark, "token_planes")
+    token_planes.write_token_files(
+        common.documents(spark, sf), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=0
+    )
+    return token_planes.read_token_digests(spark, path)
+
+
+def packed_digest(pieces: DataFrame) -> DataFrame:
+    """Pieces with a checksum in place of their ids."""
+    return pieces.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens",
+        "sequence_id", "offset", "sequence_length",
+    )
+
+
+@query("op9_packing")
+def op9(spark, sf):
+    return packed_digest(
+        packing.pack_documents(
+            common.documents(spark, sf), public_tokenizers.path("word_bpe_49k.json"), end_id=2
+        )
+    )

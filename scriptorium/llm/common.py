@@ -43,6 +43,22 @@ def over_batches(
     return df.mapInArrow(run, fields)
 
 
+def over_streams(
+    df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterable[dict]], schema: str
+) -> DataFrame:
+    """``df`` through ``run``, which reads all batches of a task and yields dicts of columns."""
+    fields = T._parse_datatype_string(schema)
+    shape = to_arrow_schema(fields)
+
+    def arrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for columns in run(batches):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(columns[f.name], type=f.type) for f in shape], schema=shape
+            )
+
+    return df.mapInArrow(arrow, fields)
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """``df`` written below ``spark.checkpoint.dir`` and read back.
 
