@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from scriptorium.llm import common, packing, sentencepiece_bpe, token_planes
+from scriptorium.llm import common, language, packing, sentencepiece_bpe, syncmers, token_planes
 from scriptorium.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,3 +59,26 @@ def op9(spark, sf):
             common.documents(spark, sf), public_tokenizers.path("word_bpe_49k.json"), end_id=2
         )
     )
+
+
+@query("op5_syncmers")
+def op5(spark, sf):
+    return syncmers.edited_documents(common.documents(spark, sf))
+
+
+def held_out(doc_id):
+    """The fold that language models never learn from."""
+    return F.crc32(doc_id.cast("string")) % 5 == 0
+
+
+def language_dictionaries(docs: DataFrame) -> dict[str, bytes]:
+    """Dictionaries from all documents outside the held-out fold."""
+    return language.train(docs.where(~held_out(F.col("doc_id"))))
+
+
+@query("op6_language")
+def op6(spark, sf):
+    docs = common.documents(spark, sf).select("doc_id", "text", "lang")
+    return language.identify(docs, language_dictionaries(docs)).select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected"
+    )

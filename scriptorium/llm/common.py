@@ -155,9 +155,13 @@ def range_bounds(df: DataFrame, key: str, parts: int) -> list[int]:
 
 
 def bucket_of(key, bounds: list[int]):
-    """Index of the last bound that is <= ``key`` (0 for null or with no bound)."""
-    if len(bounds) < 2:
-        return F.lit(0)
-    steps = F.array(*[F.lit(b) for b in bounds[1:]])
-    at = F.expr("0") + F.size(F.filter(steps, lambda b: b <= key))
-    return F.when(key.isNull(), F.lit(0)).otherwise(at).cast("int")
+    """Index of the last bound that is <= ``key`` (0 for null, or with no bound), by a binary
+    search written as nested conditions."""
+
+    def between(low: int, high: int):
+        if high - low <= 1:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(key < bounds[middle], between(low, middle)).otherwise(between(middle, high))
+
+    return F.when(key.isNull(), F.lit(0)).otherwise(between(0, len(bounds))).cast("int")
