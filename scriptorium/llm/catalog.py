@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from scriptorium.llm import common, language, packing, sentencepiece_bpe, syncmers, token_planes
+from scriptorium.llm import common, language, packing, secrets, sentencepiece_bpe, syncmers, token_planes
 from scriptorium.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,3 +82,8 @@ def op6(spark, sf):
     return language.identify(docs, language_dictionaries(docs)).select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected"
     )
+
+
+@query("op2_secrets")
+def op2(spark, sf):
+    return secrets.scan_documents(common.documents(spark, sf))

@@ -131,7 +131,7 @@ def identify(
             tied = [i for i, size in enumerate(sizes) if size == sizes[best]]
             if len(tied) > 1:
                 words = set(data.split())
-                best = max(tied, key=lambda i: sum(dictionaries[names[i]].count(w) for w in words))
+                best = max(tied, key=lambda i: sum(dictionaries[names[i]].count(b" %b " % w) for w in words))
             if len(sizes) == 1:
                 return names[best], 1.0, False
             second = min(s for i, s in enumerate(sizes) if i != best)
