@@ -9,7 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from scriptorium.llm import common, language, packing, secrets, sentencepiece_bpe, syncmers, token_planes
+from scriptorium.llm import (
+    common,
+    language,
+    ngram_join,
+    packing,
+    secrets,
+    sentencepiece_bpe,
+    syncmers,
+    token_planes,
+)
 from scriptorium.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,3 +96,8 @@ def op6(spark, sf):
 @query("op2_secrets")
 def op2(spark, sf):
     return secrets.scan_documents(common.documents(spark, sf))
+
+
+@query("op10_ngram_join")
+def op10(spark, sf):
+    return ngram_join.jaccard_components(common.documents(spark, sf))
