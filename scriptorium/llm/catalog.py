@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from scriptorium.llm import (
     common,
     language,
+    line_dedup,
     ngram_join,
     packing,
     secrets,
@@ -101,3 +102,8 @@ def op2(spark, sf):
 @query("op10_ngram_join")
 def op10(spark, sf):
     return ngram_join.jaccard_components(common.documents(spark, sf))
+
+
+@query("op7_line_dedup")
+def op7(spark, sf):
+    return line_dedup.line_report(common.documents(spark, sf))

@@ -46,3 +46,50 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
         roots.select("node", F.col("node").alias("component"))
     )
+
+
+def unresolved_pairs(led: DataFrame, checked: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """Pairs (``x``, ``y``) of one signature whose sets are not yet in one component, and that the triangle
+    inequality leaves open.
+
+    The members outside the most common component of a signature meet all its members; both
+    carry their distance to the leader in steps of the largest distance of linked sets, and
+    only neighbouring steps can link.  ``led``: ``tier``, ``key``, ``node``, ``lead``; ``checked``: the
+    verified pairs of a node ``x`` and its leader ``y`` with ``common``, ``nx`` and ``ny``.
+    """
+    reach = 1 - percent / 100
+    far = checked.select(
+        F.col("x").alias("node"), F.col("y").alias("lead"),
+        (1 - F.col("common") / (F.col("nx") + F.col("ny") - F.col("common"))).alias("far"), F.col("nx").alias("size"),
+    )
+    placed = led.join(found.select("node", "component"), "node", "left").withColumn(
+        "component", F.coalesce("component", "node")
+    )
+    counts = placed.groupBy("tier", "key", "component").agg(F.count("*").alias("n"))
+    main = counts.groupBy("tier", "key").agg(
+        F.max(F.struct("n", "component"))["component"].alias("main"), F.count("*").alias("parts")
+    )
+    open_ = main.where("parts > 1").select("tier", "key", "main")
+    # The leader itself was verified against all; it takes part as no pair.
+    members = (
+        placed.where("node > lead")
+        .join(open_, ["tier", "key"])
+        .join(far, ["node", "lead"])
+        .withColumn("step", F.floor(F.col("far") / F.lit(reach + 1e-9)))
+    )
+    outer = members.where("component != main").select(
+        "tier", "key", F.col("node").alias("x"), F.col("component").alias("cx"), F.col("far").alias("fx"),
+        F.col("size").alias("sx"), F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1)).alias("step"),
+    )
+    inner = members.select(
+        "tier", "key", "step", F.col("node").alias("y"), F.col("component").alias("cy"), F.col("far").alias("fy"),
+        F.col("size").alias("sy"),
+    )
+    return (
+        outer.join(inner, ["tier", "key", "step"])
+        .where("cx != cy")
+        .where(F.abs(F.col("fx") - F.col("fy")) <= reach + 1e-9)
+        .where(F.expr(f"100 * least(sx, sy) >= {percent} * greatest(sx, sy)"))
+        .select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y"))
+        .distinct()
+    )
