@@ -15,6 +15,7 @@ from scriptorium.llm import (
     line_dedup,
     ngram_join,
     packing,
+    quality_rules,
     secrets,
     sentencepiece_bpe,
     syncmers,
@@ -107,3 +108,8 @@ def op10(spark, sf):
 @query("op7_line_dedup")
 def op7(spark, sf):
     return line_dedup.line_report(common.documents(spark, sf))
+
+
+@query("op3_quality_rules")
+def op3(spark, sf):
+    return quality_rules.judge(common.documents(spark, sf)).drop("failed")
