@@ -24,7 +24,7 @@ WINDOW = 4096
 #: Tokens of a shard, about; what a task holds is a small multiple of it (or one document).
 SHARD_TOKENS = 2_000_000
 #: A seed asks with its most telling words, this many.
-QUERY_TERMS = 48
+QUERY_TERMS = 32
 K1, B = 1.2, 0.75
 
 PIECES = (
@@ -65,6 +65,18 @@ def _mixed(ids: np.ndarray) -> np.ndarray:
     return x >> np.uint64(33)
 
 
+def _narrow(ids: np.ndarray) -> np.ndarray:
+    """``ids`` in 16 bits if they fit, which numpy sorts by counting."""
+    return ids.astype(np.uint16) if len(ids) and ids.max() < 1 << 16 else ids
+
+
+def _distinct(ids: np.ndarray) -> np.ndarray:
+    found = np.sort(_narrow(ids), kind="stable")
+    keep = np.ones(len(found), bool)
+    np.not_equal(found[1:], found[:-1], out=keep[1:])
+    return found[keep]
+
+
 def document_frequencies(tokens: DataFrame) -> DataFrame:
     """``token`` and ``docs``, over all documents; at most as many rows as the vocabulary."""
 
@@ -72,7 +84,7 @@ def document_frequencies(tokens: DataFrame) -> DataFrame:
         total = np.zeros(0, np.int64)
         for batch in batches:
             for data in batch.column("ids"):
-                seen = np.unique(np.frombuffer(data.as_buffer(), "<u4"))
+                seen = _distinct(np.frombuffer(data.as_buffer(), "<u4"))
                 if len(seen) and seen[-1] >= len(total):
                     total = np.pad(total, (0, int(seen[-1]) + 1 - len(total)))
                 total[seen] += 1
@@ -147,9 +159,12 @@ class ShardIndex:
     def __init__(self, arrays: list[np.ndarray], idf: np.ndarray, mean: float):
         sizes = np.array([len(a) for a in arrays])
         owner = np.repeat(np.arange(len(arrays), dtype=np.int64), sizes)
-        keys = np.concatenate(arrays).astype(np.int64) * len(arrays) + owner
-        keys, tf = np.unique(keys, return_counts=True)
-        self.terms, self.docs = np.divmod(keys, len(arrays))
+        terms = _narrow(np.concatenate(arrays))
+        order = np.argsort(terms, kind="stable")  # by term, then by document
+        terms, owner = terms[order], owner[order]
+        begin = np.flatnonzero(np.r_[True, (terms[1:] != terms[:-1]) | (owner[1:] != owner[:-1])])
+        tf = np.diff(np.r_[begin, len(terms)])
+        self.terms, self.docs = terms[begin].astype(np.int64), owner[begin]
         norm = K1 * (1 - B + B * sizes[self.docs] / mean)
         self.weights = (idf[self.terms] * tf * (K1 + 1) / (tf + norm)).astype(np.float32)
         self.begin = np.searchsorted(self.terms, np.arange(len(idf) + 1))
@@ -157,7 +172,7 @@ class ShardIndex:
 
     def neighbours(self, ids: np.ndarray, terms: int) -> np.ndarray:
         """Documents by falling score for the most telling terms of ``ids``, ties by place."""
-        asked = np.unique(ids)
+        asked = _distinct(ids)
         asked = asked[np.argsort(-self.idf[asked], kind="stable")[:terms]]
         lists = [slice(self.begin[t], self.begin[t + 1]) for t in asked]
         docs = np.concatenate([self.docs[s] for s in lists])

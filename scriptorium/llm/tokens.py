@@ -9,12 +9,27 @@ space (whose split depends on its length) is given to the library whole.
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Callable
 
 import numpy as np
 
 from scriptorium.llm.common import WordCache
 
+_RUNS = re.compile(r"[^\W\d_]+|[\W\d_]+")
+
+
+def _units(word: str) -> list[str]:
+    """A word cut between letters and other characters, where no token spans the cut: not at
+    apostrophes (contractions), where the others are not ASCII (they may combine), or after
+    two blanks (which are split by what follows)."""
+    if word.isalpha() or "'" in word:
+        return [word]
+    runs = _RUNS.findall(word)
+    if all(r.isalpha() if r[0].isalpha() else r.isascii() and not (len(r) > 1 and r[-2:].isspace()) for r in runs):
+        return runs
+    return [word]
+
 
 def token_arrays(path: str, drops_space: bool) -> Callable[[list[str]], list[np.ndarray]]:
     """A function from texts to arrays of ids (uint32), without special tokens; strings of
@@ -32,18 +47,30 @@ def token_arrays(path: str, drops_space: bool) -> Callable[[list[str]], list[np.
         found = tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(f.ids, "<u4").tobytes() for f in found]
 
+    # Parts of words; most new words are known letters with other punctuation.
+    inner = WordCache(f"units {path}", ids)
+    first = WordCache(f"first units {path}", lambda units: ids([" " + u for u in units]))
+
     def bare(words: list[str]) -> list[bytes | None]:
-        return ids(words)
+        units = [_units(w) for w in words]
+        known = inner.fill(units)
+        return [b"".join(map(known.__getitem__, u)) for u in units]
 
     def spaced(words: list[str]) -> list[bytes | None]:
         """Ids of words with the space before them; None for words that begin or end with
         white space, or are empty, where the space belongs to a run."""
-        safe = [w for w in words if w and not w[0].isspace() and not w[-1].isspace()]
-        return [*map(dict(zip(safe, ids([" " + w for w in safe]), strict=True)).get, words)]
+        units = [
+            _units(w) if w and not w[0].isspace() and not w[-1].isspace() else None for w in words
+        ]
+        heads = first.fill([u[:1] for u in units if u])
+        known = inner.fill([u[1:] for u in units if u])
+        return [u and b"".join([heads[u[0]], *map(known.__getitem__, u[1:])]) for u in units]
 
     cache = WordCache(f"words {path}", bare if drops_space else spaced)
 
     def of_words(texts: list[str]) -> list[bytes]:
+        # The vocabulary is of lower case; only the sigma's lower case depends on its place.
+        texts = [t if "Σ" in t else t.lower() for t in texts]
         lists = [t.replace("\n", " ").split(" ") for t in texts]
         known = cache.fill(lists)
         return [b"".join(map(known.__getitem__, words)) for words in lists]
@@ -60,8 +87,8 @@ def token_arrays(path: str, drops_space: bool) -> Callable[[list[str]], list[np.
             parts = [*map(known.__getitem__, rest)]
             whole = None in parts or (rest and (not head or head[-1].isspace()))
             out.append(None if whole else b"".join(parts))
-        first = ids([t if o is None else h for t, h, o in zip(texts, heads, out, strict=True)])
-        return [f if o is None else f + o for f, o in zip(first, out, strict=True)]
+        begun = ids([t if o is None else h for t, h, o in zip(texts, heads, out, strict=True)])
+        return [f if o is None else f + o for f, o in zip(begun, out, strict=True)]
 
     encode = of_words if drops_space else of_spaced
     return lambda texts: [np.frombuffer(b, "<u4") for b in encode(texts)]
