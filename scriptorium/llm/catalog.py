@@ -15,6 +15,7 @@ from scriptorium.llm import (
     line_dedup,
     ngram_join,
     packing,
+    quality_classifier,
     quality_rules,
     secrets,
     sentencepiece_bpe,
@@ -113,3 +114,9 @@ def op7(spark, sf):
 @query("op3_quality_rules")
 def op3(spark, sf):
     return quality_rules.judge(common.documents(spark, sf)).drop("failed")
+
+
+@query("op8_quality_classifier")
+def op8(spark, sf):
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    return quality_classifier.classify(common.documents(spark, sf), labels)

@@ -155,3 +155,13 @@ def identify(
     return out.select(
         *[F.col(k).alias(f.name) for k, f in fields.items()], "lang_pred", "score", "rejected"
     )
+
+
+def keep_identified(
+    df: DataFrame, dictionaries: dict[str, bytes], text_col: str = "text", min_margin: float = MIN_MARGIN
+) -> DataFrame:
+    """The rows of ``df`` whose language :func:`identify` does not reject, with all their columns."""
+    short = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    text = f"c{df.columns.index(text_col)}"
+    found = identify(short, dictionaries, text_col=text, keep=short.columns, min_margin=min_margin)
+    return found.where("not rejected").select(short.columns).toDF(*df.columns)

@@ -261,9 +261,9 @@ def redact_documents(df: DataFrame, text_col: str = "text") -> DataFrame:
 
     All columns are returned, in their order; texts without a finding are unchanged.
     """
-    fields = [f"{f.name}" for f in df.schema]
+    fields = df.columns
     short = df.toDF(*[f"c{i}" for i in range(len(fields))])
-    at = f"c{fields.index(text_col)}"
+    at, names = f"c{fields.index(text_col)}", short.columns
 
     def begin():
         def clean(text):
@@ -272,7 +272,7 @@ def redact_documents(df: DataFrame, text_col: str = "text") -> DataFrame:
 
         def each(batch):
             for block in blocks(batch, at):
-                yield {c: block.column(c) for c in short.columns} | {
+                yield {c: block.column(c) for c in names} | {
                     at: [clean(t) for t in block.column(at).to_pylist()]
                 }
 
