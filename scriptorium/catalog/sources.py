@@ -237,7 +237,7 @@ def s17(spark, sf):
         F.col("c_custkey").alias("file"),
         F.floor(F.abs("c_acctbal")).alias("num_rows"),
     )
-    return selection.plan_batches(files, 20_000, ["folder"])
+    return selection.plan_batches(files, ["folder"], 20_000)
 
 
 @query("s18_file_inventory", "SELECT 'orders.parquet' AS file, count(*) AS num_rows FROM orders")
@@ -256,7 +256,7 @@ def s19(spark, sf):
     files = adapters.table(spark, sf, "customer").select(
         F.col("c_nationkey").alias("folder"), F.col("c_custkey").alias("file")
     )
-    return selection.sample_files(files, 7, "file", ["folder"])
+    return selection.sample_files(files, 7, ["folder"])
 
 
 # ---- sinks ---------------------------------------------------------------------------------

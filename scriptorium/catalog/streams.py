@@ -127,9 +127,20 @@ def r6(spark, sf):
     return spark.read.schema(stream.schema).parquet(out)
 
 
-@query("r7_retrain_triggers")
+_GO = "v.drift AND v.mark IS DISTINCT FROM s.mark AND (s.since IS NULL OR v.t - s.since >= 21600)"
+
+
+@query(
+    "r7_retrain_triggers",
+    f"""WITH RECURSIVE v AS (SELECT concat('p', o_custkey % 50) AS pipeline, CAST(o_orderkey AS VARCHAR) AS run_id, o_totalprice > 200000 AS drift,
+        strftime(o_orderdate, '%Y-%m') AS mark, CAST(epoch(CAST(o_orderdate AS TIMESTAMP)) AS BIGINT) AS t,
+        row_number() OVER (PARTITION BY o_custkey % 50 ORDER BY o_orderdate, CAST(o_orderkey AS VARCHAR)) AS rn FROM orders),
+    s AS (SELECT pipeline, rn, run_id, drift AS go, CASE WHEN drift THEN mark END AS mark, CASE WHEN drift THEN t END AS since FROM v WHERE rn = 1
+      UNION ALL SELECT v.pipeline, v.rn, v.run_id, {_GO}, CASE WHEN {_GO} THEN v.mark ELSE s.mark END, CASE WHEN {_GO} THEN v.t ELSE s.since END
+      FROM s JOIN v ON v.pipeline = s.pipeline AND v.rn = s.rn + 1)
+    SELECT pipeline, concat('drift-retrain:', run_id) AS run_key, run_id FROM s WHERE go""",
+)
 def r7(spark, sf):
-    """Sequential state machine; checked against a plain loop in the tests."""
     verdicts = adapters.table(spark, sf, "orders").select(
         F.concat(F.lit("p"), (F.col("o_custkey") % 50).cast("string")).alias("pipeline"),
         F.col("o_orderkey").cast("string").alias("run_id"),

@@ -23,6 +23,7 @@ from scriptorium.sources import scans, selection
 FILES_PER_TRIGGER = 96
 COOLDOWN_SECONDS = 6 * 3600
 VERDICT_SCHEMA_VERSION = 1
+RUN_KEY_PREFIX = "drift-retrain:"
 NEVER = "never"
 DECIDED = ("accepted", "rejected")
 # -------------------------------------------------------------------------------------
@@ -250,53 +251,56 @@ def carry_forward_stream(events: DataFrame, ttl_ms: int | None = None) -> DataFr
 
 
 # ---- triggers ----------------------------------------------------------------------------------
-def decide_retrain(
-    verdict: dict, memory: tuple, cooldown: int = COOLDOWN_SECONDS
-) -> tuple[bool, tuple]:
-    """Should this drift verdict start a retraining, and what to remember.
-
-    ``memory``: last verdict run, data watermark of the last retraining, its time in
-    seconds.  Skipped when the verdict is empty or of unknown schema, was seen already,
-    reports no drift, rests on the data of the last retraining, or comes too soon.  Only a
-    retraining moves the watermark, so the loop ends when the data stops moving.
+def retrainings(verdicts: pd.DataFrame, memory: tuple, cooldown: int = COOLDOWN_SECONDS) -> tuple[list[str], tuple]:
+    """(run ids that start a retraining, what to remember) of one pipeline's new verdicts.
+
+    ``memory``: the newest run id, and the watermark and time of the newest retraining.
+    Verdicts are taken by time, then run id.  One qualifies by itself if it has a run id that
+    differs from the one before, the known schema, and drift.  Of these, the next
+    retraining is the first whose data moved since the newest retraining and whose time is
+    at least ``cooldown`` later, so the search goes from retraining to retraining.
     """
-    last_run, last_watermark, last_time = memory
-    run = verdict.get("run_id")
-    if not run or verdict.get("schema_version") != VERDICT_SCHEMA_VERSION:
-        return False, (run or last_run, last_watermark, last_time)
-    skip = (
-        run == last_run
-        or not verdict.get("drift_detected")
-        or verdict.get("watermark") == last_watermark
-        or (last_time is not None and verdict["produced_at"] - last_time < cooldown)
-    )
-    if skip:
-        return False, (run, last_watermark, last_time)
-    return True, (run, verdict.get("watermark"), verdict["produced_at"])
+    run, mark, since = memory
+    rows = verdicts.sort_values(["produced_at", "run_id"], na_position="first").reset_index(drop=True)
+    named = rows[rows["run_id"].fillna("") != ""]
+    fresh = named["run_id"] != named["run_id"].shift(fill_value=run or "")
+    able = fresh & (named["schema_version"] == VERDICT_SCHEMA_VERSION) & named["drift_detected"].fillna(False).astype(bool)
+    waiting, started = named[able], []
+    while len(waiting):
+        moved = waiting["watermark"].isna() if mark is not None else waiting["watermark"].notna()
+        if mark is not None:
+            moved |= waiting["watermark"] != mark
+        rested = True if since is None else waiting["produced_at"] >= since + cooldown
+        ready = waiting[moved & rested]
+        if ready.empty:
+            break
+        first = ready.iloc[0]
+        mark = None if pd.isna(first["watermark"]) else first["watermark"]
+        since = int(first["produced_at"])
+        started.append(first["run_id"])
+        waiting = waiting.loc[first.name + 1 :]
+    return started, (named["run_id"].iloc[-1] if len(named) else run, mark, since)
 
 
 def retrain_triggers(verdicts: DataFrame, cooldown: int = COOLDOWN_SECONDS, ttl_ms: int | None = None) -> DataFrame:
     """(pipeline, run_key, run_id): one row per retraining that a verdict stream starts.
 
     ``verdicts``: pipeline, run_id, schema_version, drift_detected, watermark (canonical
-    JSON text), produced_at (seconds).  A pipeline produces few verdicts, so a batch of
-    one pipeline is ordered in its task.
+    JSON text), produced_at (seconds).  Only verdicts that could matter reach the state: the
+    columns of one pipeline's batch, which is as long as its new verdicts.
     """
-    decide, keep = decide_retrain, _keep
+    search, keep, prefix = retrainings, _keep, RUN_KEY_PREFIX
 
     def update(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
         memory = tuple(state.get) if state.exists else (None, None, None)
-        rows = pd.concat(list(chunks)).sort_values(["produced_at", "run_id"])
-        started = []
-        for verdict in rows.to_dict("records"):
-            start, memory = decide(verdict, memory, cooldown)
-            if start:
-                started.append((key[0], f"drift-retrain:{verdict['run_id']}", verdict["run_id"]))
+        started, memory = search(pd.concat(list(chunks)), memory, cooldown)
         keep(state, memory, ttl_ms)
-        yield pd.DataFrame(started, columns=["pipeline", "run_key", "run_id"])
+        yield pd.DataFrame(
+            {"pipeline": [key[0]] * len(started), "run_key": [prefix + r for r in started], "run_id": started}
+        )
 
     return verdicts.groupBy("pipeline").applyInPandasWithState(
         update,

@@ -7,8 +7,10 @@ import itertools
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scriptorium.functions import text
 from scriptorium.operators import learn, matching, neighbours, reshape, series, windows
@@ -159,13 +161,36 @@ def test_drift_of_equal_samples_is_zero(spark):
 
 
 def test_retrain_loop_terminates():
-    memory, fired = (None, None, None), []
-    for i in range(20):
-        verdict = {"run_id": f"r{i}", "schema_version": 1, "drift_detected": True, "watermark": "w", "produced_at": i * 10**6}
-        start, memory = jobs.decide_retrain(verdict, memory)
-        fired.append(start)
-    assert fired == [True] + [False] * 19
-    again = {"run_id": "r99", "schema_version": 1, "drift_detected": True, "watermark": "w2", "produced_at": 30 * 10**6}
-    assert jobs.decide_retrain(again, memory)[0]
-    assert not jobs.decide_retrain({**again, "schema_version": 2}, memory)[0]
-    assert not jobs.decide_retrain({**again, "produced_at": 60}, (None, None, 0))[0]
+    def verdict(i, **changed):
+        return {"run_id": f"r{i:02d}", "schema_version": 1, "drift_detected": True, "watermark": "w", "produced_at": i * 10**6} | changed
+
+    started, memory = jobs.retrainings(pd.DataFrame([verdict(i) for i in range(20)]), (None, None, None))
+    assert started == ["r00"] and memory == ("r19", "w", 0)
+    assert jobs.retrainings(pd.DataFrame([verdict(30, watermark="w2")]), memory)[0] == ["r30"]
+    for blocked in ({"schema_version": 2}, {"drift_detected": False}, {"run_id": "r19"}, {"run_id": None}, {"produced_at": 60}):
+        assert jobs.retrainings(pd.DataFrame([verdict(30, watermark="w2") | blocked]), memory)[0] == []
+
+
+def test_retrain_stream_remembers_over_batches(spark, tmp_path):
+    """Each batch continues where the one before ended, as one search over all verdicts does."""
+    schema = "pipeline string, run_id string, schema_version int, drift_detected boolean, watermark string, produced_at long"
+    rng = random.Random(11)
+    rows = [
+        (f"p{rng.randrange(3)}", f"r{i:03d}", rng.choice([1, 1, 1, 2]), rng.random() < 0.7, rng.choice(["a", "b", "c"]), i * 5_000)
+        for i in range(120)
+    ]
+    source, out, progress = (str(tmp_path / n) for n in ("in", "out", "progress"))
+    for part in range(3):
+        batch = rows[part * 40 : part * 40 + 40]
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(source)
+        stream = jobs.retrain_triggers(jobs.file_stream(spark, source, T._parse_datatype_string(schema)))
+        jobs.run_to_files(stream, out, progress)
+    found = {r.run_id for r in spark.read.parquet(out).collect()}
+    expected = set()
+    for pipeline in ("p0", "p1", "p2"):
+        mark = since = None
+        for _, run, version, drift, watermark, at in (r for r in rows if r[0] == pipeline):
+            if version == 1 and drift and watermark != mark and (since is None or at - since >= jobs.COOLDOWN_SECONDS):
+                expected.add(run)
+                mark, since = watermark, at
+    assert found == expected and len(found) > 3

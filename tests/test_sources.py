@@ -89,9 +89,12 @@ def test_runs_by_time_then_id(spark):
 
 
 def test_batches(spark):
-    files = spark.createDataFrame([("a", 4), ("b", 4), ("c", 20), ("d", 1), ("e", 9)], "file string, num_rows int")
-    found = {r.file: r.batch for r in selection.plan_batches(files, 10).collect()}
-    assert found == {"a": 0, "b": 0, "c": 1, "d": 2, "e": 2}
+    rows = [("a", 4), ("b", 4), ("c", 20), ("d", 1), ("e", 9), ("f", 0), ("g", 11), ("h", 0)]
+    files = spark.createDataFrame([("x", *r) for r in rows] + [("y", "a", 9)], "folder string, file string, num_rows int")
+    found = {(r.folder, r.file): r.batch for r in selection.plan_batches(files, ["folder"], 10).collect()}
+    assert found == {("x", f): b for f, b in zip("abcdefgh", (0, 0, 1, 2, 2, 2, 3, 4))} | {("y", "a"): 0}
+    with pytest.raises(ValueError, match="folder"):
+        selection.plan_batches(files, [])
 
 
 def test_dictionary_rejects_unknown_types(spark):
