@@ -68,6 +68,9 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.option("compression", "zstd").parquet(path)
+    # Spark drops the shuffle files of a finished plan when the driver's collector finds the plan
+    # gone, which a driver with little garbage may never do; at scale they fill the disks.
+    spark._jvm.System.gc()
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out

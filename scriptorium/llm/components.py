@@ -49,12 +49,12 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 
 def unresolved_pairs(led: DataFrame, checked: DataFrame, found: DataFrame, percent: int) -> DataFrame:
-    """Pairs (``x``, ``y``) of one signature whose sets are not yet in one component, and that the triangle
+    """Pairs (``x`` > ``y``) with the ``tier`` and ``key`` of a signature whose sets are not yet in one component, and that the triangle
     inequality leaves open.
 
     The members outside the most common component of a signature meet all its members; both
     carry their distance to the leader in steps of the largest distance of linked sets, and
-    only neighbouring steps can link.  ``led``: ``tier``, ``key``, ``node``, ``lead``; ``checked``: the
+    only neighbouring steps can link.  A pair comes once for every signature it shares.  ``led``: ``tier``, ``key``, ``node``, ``lead``; ``checked``: the
     verified pairs of a node ``x`` and its leader ``y`` with ``common``, ``nx`` and ``ny``.
     """
     reach = 1 - percent / 100
@@ -82,14 +82,13 @@ def unresolved_pairs(led: DataFrame, checked: DataFrame, found: DataFrame, perce
         F.col("size").alias("sx"), F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1)).alias("step"),
     )
     inner = members.select(
-        "tier", "key", "step", F.col("node").alias("y"), F.col("component").alias("cy"), F.col("far").alias("fy"),
+        "tier", "key", "step", (F.col("component") == F.col("main")).alias("inner_main"), F.col("node").alias("y"), F.col("component").alias("cy"), F.col("far").alias("fy"),
         F.col("size").alias("sy"),
     )
     return (
         outer.join(inner, ["tier", "key", "step"])
-        .where("cx != cy")
+        .where("cx != cy and (inner_main or x > y)")
         .where(F.abs(F.col("fx") - F.col("fy")) <= reach + 1e-9)
         .where(F.expr(f"100 * least(sx, sy) >= {percent} * greatest(sx, sy)"))
-        .select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y"))
-        .distinct()
+        .select("tier", "key", F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y"))
     )

@@ -300,6 +300,35 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return over_batches(both, begin, "x long, y long, common long, nx long, ny long")
 
 
+def _likely(pairs: DataFrame, sets: DataFrame, busy: DataFrame) -> DataFrame:
+    """``pairs`` that share as many signatures as linked sets must, each once.
+
+    A set with more unprobed segments to spare than it has frequent signatures shares one
+    more signature than that difference with every set it links to.  Pairs that meet in
+    one-deletion neighbourhoods stay.
+    """
+    hot = busy.select("node", F.explode("busy").alias("e")).select("node", "e.band", F.col("e.n").alias("hot"))
+    margin = (
+        sets.select("node", F.explode("spare").alias("e"))
+        .select("node", "e.band", "e.n")
+        .join(hot, ["node", "band"], "left")
+        .select("node", "band", (F.col("n") - F.coalesce("hot", F.lit(0))).alias("margin"))
+    )
+    counted = (
+        pairs.where("tier = 0")
+        .groupBy("x", "y", F.col("key").bitwiseAND(63).cast("int").alias("band"))
+        .agg(F.count("*").alias("shared"))
+    )
+    for side in ("x", "y"):
+        counted = (
+            counted.join(margin.withColumnRenamed("node", side), [side, "band"])
+            .where("shared > margin")
+            .drop("margin")
+        )
+    other = pairs.where("tier > 0").select("x", "y")
+    return counted.select("x", "y").union(other).distinct()
+
+
 def jaccard_components(
     df: DataFrame,
     id_col: str = "doc_id",
@@ -334,13 +363,26 @@ def jaccard_components(
                 sets = ngram_sets(block.column("text"), words)
                 wanted = zip(block.column("node").to_pylist(), block.column("a").to_pylist(),
                              block.column("b").to_pylist(), sets, strict=True)
-                kept = [(n, a, s.tobytes()) for n, a, b, s in wanted if identity(s) == (a, b)]
-                yield {"node": [k[0] for k in kept], "a": [k[1] for k in kept], "tokens": [k[2] for k in kept]}
+                kept = [(n, a, s) for n, a, b, s in wanted if identity(s) == (a, b)]
+                yield {
+                    "node": [k[0] for k in kept],
+                    "a": [k[1] for k in kept],
+                    "tokens": [k[2].tobytes() for k in kept],
+                    "spare": [
+                        [{"band": band, "n": _spare(part, s, band, m, most)} for band, m, most in part.bands(len(s))]
+                        for _, _, s in kept
+                    ],
+                }
 
         return take
 
     texts = rows.join(asked, rows["doc_id"] == asked["node"]).select("node", "a", "b", "text")
-    sets = stored(over_batches(texts, begin, "node long, a long, tokens binary"), "sets").dropDuplicates(["node", "a"])
+    spare = "array<struct<band:int,n:int>>"
+    read = over_batches(texts, begin, f"node long, a long, tokens binary, spare {spare}")
+    # Rows with equal ids and texts are read more than once.
+    sets = stored(
+        read.groupBy("node", "a").agg(F.first("tokens").alias("tokens"), F.first("spare").alias("spare")), "sets"
+    )
     members = stored(
         shared.join(classes.select("a", "node"), "a").select("key", "node").distinct(), "members"
     )
@@ -390,7 +432,7 @@ def jaccard_components(
     linked = F.expr(f"100 * common >= {percent} * (nx + ny - common)")
     links = checked.where(linked).select(F.col("x").alias("a"), F.col("y").alias("b"))
     found = stored(components(links), "components")
-    rest = unresolved_pairs(led, checked, found, percent)
+    rest = _likely(unresolved_pairs(led, checked, found, percent), sets, busy)
     more = stored(_verified(rest, sets), "rest").where(linked).select(F.col("x").alias("a"), F.col("y").alias("b"))
     if more.head(1):
         found = stored(components(links.union(more)), "components")
