@@ -412,7 +412,7 @@ def a27(spark, sf):
     return aggregates.vector_coverage(authors, zeroed)
 
 
-_KNN = 5
+_KNN = neighbours.NEIGHBOURS
 
 
 @query(

@@ -318,13 +318,13 @@ def j10(spark, sf):
     return joins.merge_titles(_titles(spark, sf), LANGS).select("ror", "qid", "lang", "title")
 
 
-_REDIRECTS_SQL = """norm AS (SELECT concat('Title ', o_orderkey) AS a, concat('Titre ', o_orderkey) AS b FROM orders WHERE o_orderkey < 500 AND o_orderkey % 3 = 0),
-redir AS (SELECT concat('Titre ', o_orderkey) AS a, concat('Final ', o_orderkey) AS b FROM orders WHERE o_orderkey < 500 AND o_orderkey % 6 = 0
-          UNION ALL SELECT concat('Title ', o_orderkey), concat('Moved ', o_orderkey) FROM orders WHERE o_orderkey < 500 AND o_orderkey % 6 = 1)"""
+_REDIRECTS_SQL = """norm AS (SELECT concat('Title ', o_orderkey) AS a, concat('Titre ', o_orderkey) AS b FROM orders WHERE o_orderkey % 3 = 0),
+redir AS (SELECT concat('Titre ', o_orderkey) AS a, concat('Final ', o_orderkey) AS b FROM orders WHERE o_orderkey % 6 = 0
+          UNION ALL SELECT concat('Title ', o_orderkey), concat('Moved ', o_orderkey) FROM orders WHERE o_orderkey % 6 = 1)"""
 
 
 def _lookups(spark, sf):
-    orders = adapters.table(spark, sf, "orders").where("o_orderkey < 500")
+    orders = adapters.table(spark, sf, "orders")
     key = F.col("o_orderkey").cast("string")
 
     def pair(a, b):

@@ -187,15 +187,18 @@ def q4_collab(spark, sf):
             ("freq.between", "freq < 1"),
         ],
         "labels_",
-        f"""WITH {sql.LINKS}, {sql.TOPICS}, labels_ AS (SELECT author_id, 'topic' AS kind, topic_id AS label_id, sum(score) AS weight,
-        count(DISTINCT l.work_id) AS freq FROM links l JOIN topics t ON t.work_id = l.work_id WHERE score >= 0.5 GROUP BY 1, 2, 3)""",
+        f"""WITH {sql.LINKS}, {sql.TOPICS}, {sql.KEYWORDS}, scored AS (
+          SELECT work_id, 'topic' AS kind, topic_id AS label_id, score FROM topics WHERE score >= 0.5
+          UNION ALL SELECT work_id, 'keyword', keyword_id, score FROM keywords WHERE score >= 0.2),
+        labels_ AS (SELECT author_id, kind, label_id, sum(score) AS weight, count(DISTINCT l.work_id) AS freq
+          FROM links l JOIN scored s ON s.work_id = l.work_id GROUP BY 1, 2, 3)""",
     ),
 )
 def q4_labels(spark, sf):
     labels = aggregates.researcher_labels(
         adapters.authorships(spark, sf),
         adapters.topics(spark, sf),
-        adapters.keywords(spark, sf).where("false"),
+        adapters.keywords(spark, sf),
     )
     return quality.labels_suite(labels, 15)
 

@@ -33,7 +33,8 @@ def s1(spark, sf):
 
 
 def _written_runs(spark, sf):
-    """Orders of 1998 in two runs of one month each; the second run has one more column."""
+    """All orders as runs of their months: run a of every month, without a status column before
+    1998-02, and from then on a second run b of the orders with an even key."""
     root = scratch_path(spark, "runs")
     orders = adapters.table(spark, sf, "orders").select(
         F.col("o_orderkey").alias("work_id"),
@@ -41,19 +42,22 @@ def _written_runs(spark, sf):
         F.date_format("o_orderdate", "yyyy-MM").alias("m"),
         "o_orderstatus",
     )
-    first = orders.where("m = '1998-01'").drop("m")
-    second = orders.where("m = '1998-02'").drop("m")
-    sinks.write_run(first.drop("o_orderstatus"), root, "1998-01", "a", ["work_id"])
-    sinks.write_run(second, root, "1998-02", "a", ["work_id"])
-    sinks.write_run(second.where("work_id % 2 = 0"), root, "1998-02", "b", ["work_id"])
+
+    def write(rows, run):
+        placed = rows.withColumnRenamed("m", "dt").withColumn("run", F.lit(run))
+        placed.repartition("dt").sortWithinPartitions("work_id").write.mode("append").partitionBy("dt", "run").parquet(root)
+
+    write(orders.where("m < '1998-02'").drop("o_orderstatus"), "a")
+    write(orders.where("m >= '1998-02'"), "a")
+    write(orders.where("m >= '1998-02' and work_id % 2 = 0"), "b")
     return root
 
 
 @query(
     "s2_scan_runs",
     """WITH o AS (SELECT o_orderkey AS work_id, o_orderstatus, strftime(o_orderdate, '%Y-%m') AS m FROM orders)
-    SELECT work_id, m AS dt, 'a' AS run, CASE WHEN m = '1998-02' THEN o_orderstatus END AS o_orderstatus, true AS named FROM o WHERE m IN ('1998-01', '1998-02')
-    UNION ALL SELECT work_id, m, 'b', o_orderstatus, true FROM o WHERE m = '1998-02' AND work_id % 2 = 0""",
+    SELECT work_id, m AS dt, 'a' AS run, CASE WHEN m >= '1998-02' THEN o_orderstatus END AS o_orderstatus, true AS named FROM o
+    UNION ALL SELECT work_id, m, 'b', o_orderstatus, true FROM o WHERE m >= '1998-02' AND work_id % 2 = 0""",
 )
 def s2(spark, sf):
     runs = scans.scan_runs(spark, _written_runs(spark, sf))
@@ -194,19 +198,20 @@ def s13(spark, sf):
 
 @query(
     "s14_previous_run",
-    f"""WITH {sql.FILES}, one AS (SELECT run, modified FROM runs WHERE dt LIKE '1998-0%'),
+    f"""WITH {sql.FILES}, one AS (SELECT run, modified FROM runs),
     cur AS (SELECT max(modified) AS m FROM one WHERE run = 'r7')
     SELECT run FROM one, cur WHERE run <> 'r7' AND (modified < m OR (modified = m AND run < 'r7')) ORDER BY modified DESC, run DESC LIMIT 1""",
 )
 def s14(spark, sf):
-    files = adapters.run_files(spark, sf).where(F.col("path").contains("dt=1998-0"))
-    return selection.previous_run(files, "r7")
+    return selection.previous_run(adapters.run_files(spark, sf), "r7")
 
 
 @query(
     "s15_read_latest",
-    """SELECT o_orderkey AS work_id, '1998-01' AS dt, 'a' AS run FROM orders WHERE strftime(o_orderdate, '%Y-%m') = '1998-01'
-       UNION ALL SELECT o_orderkey, '1998-02', 'b' FROM orders WHERE strftime(o_orderdate, '%Y-%m') = '1998-02' AND o_orderkey % 2 = 0""",
+    """WITH o AS (SELECT o_orderkey AS work_id, strftime(o_orderdate, '%Y-%m') AS dt FROM orders),
+    second AS (SELECT DISTINCT dt FROM o WHERE dt >= '1998-02' AND work_id % 2 = 0)
+    SELECT work_id, dt, 'a' AS run FROM o WHERE dt NOT IN (SELECT dt FROM second)
+    UNION ALL SELECT work_id, dt, 'b' FROM o WHERE dt >= '1998-02' AND work_id % 2 = 0""",
 )
 def s15(spark, sf):
     rows = selection.read_latest(spark, _written_runs(spark, sf))
