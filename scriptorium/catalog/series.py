@@ -10,9 +10,8 @@ from scriptorium.functions import calendar
 from scriptorium.operators import learn, series, windows
 from scriptorium.plans import adapters, forecasting
 
-#: Events span 30 days, so the daily windows are shorter than in production.
-SHORT = {"lags": (1, 3, 7), "means": (3, 7), "deviation": 5, "trend": 5}
-HISTORY = 7
+#: Days ahead that the daily model is trained for.
+DAYS_AHEAD = range(1, 93)
 
 
 def _daily(spark, sf):
@@ -24,7 +23,7 @@ def _monthly(spark, sf):
 
 
 def _features(spark, sf):
-    return windows.rolling_features(_daily(spark, sf), "key", "day", "n", "day", SHORT, HISTORY)
+    return windows.rolling_features(_daily(spark, sf), "key", "day", "n", "day")
 
 
 @query("t1_densify_daily", f"WITH {sql.DAILY} SELECT key, CAST(d AS VARCHAR) AS day, n FROM dense")
@@ -45,39 +44,39 @@ def t1_monthly(spark, sf):
 _W = "OVER (PARTITION BY key ORDER BY d"
 _FEATURES_SQL = f"""features AS (
   SELECT key, d, t, n,
-    CASE WHEN t >= 7 THEN lag(n, 0) {_W}) END AS lag_1, CASE WHEN t >= 7 THEN lag(n, 2) {_W}) END AS lag_3,
-    CASE WHEN t >= 7 THEN lag(n, 6) {_W}) END AS lag_7,
-    CASE WHEN t >= 7 THEN avg(n) {_W} ROWS 2 PRECEDING) END AS roll_mean_3,
-    CASE WHEN t >= 7 THEN avg(n) {_W} ROWS 6 PRECEDING) END AS roll_mean_7,
-    CASE WHEN t >= 7 THEN stddev_pop(n) {_W} ROWS 4 PRECEDING) END AS roll_std_5,
-    CASE WHEN t >= 7 THEN n - lag(n, 4) {_W}) END AS trend_5
+    CASE WHEN t >= 28 THEN lag(n, 0) {_W}) END AS lag_1, CASE WHEN t >= 28 THEN lag(n, 6) {_W}) END AS lag_7,
+    CASE WHEN t >= 28 THEN lag(n, 13) {_W}) END AS lag_14, CASE WHEN t >= 28 THEN lag(n, 27) {_W}) END AS lag_28,
+    CASE WHEN t >= 28 THEN avg(n) {_W} ROWS 6 PRECEDING) END AS roll_mean_7,
+    CASE WHEN t >= 28 THEN avg(n) {_W} ROWS 27 PRECEDING) END AS roll_mean_28,
+    CASE WHEN t >= 28 THEN stddev_pop(n) {_W} ROWS 6 PRECEDING) END AS roll_std_7,
+    CASE WHEN t >= 28 THEN n - lag(n, 6) {_W}) END AS trend_7
   FROM dense)"""
 
 
 @query(
     "w4_lag_features",
     f"""WITH {sql.DAILY}, {_FEATURES_SQL} SELECT key, CAST(d AS VARCHAR) AS day, CAST(lag_1 AS DOUBLE) AS lag_1,
-    CAST(lag_3 AS DOUBLE) AS lag_3, CAST(lag_7 AS DOUBLE) AS lag_7 FROM features""",
+    CAST(lag_7 AS DOUBLE) AS lag_7, CAST(lag_14 AS DOUBLE) AS lag_14, CAST(lag_28 AS DOUBLE) AS lag_28 FROM features""",
 )
 def w4(spark, sf):
     return _features(spark, sf).select(
-        "key", F.col("day").cast("string").alias("day"), "lag_1", "lag_3", "lag_7"
+        "key", F.col("day").cast("string").alias("day"), "lag_1", "lag_7", "lag_14", "lag_28"
     )
 
 
 @query(
     "w5_rolling_features",
-    f"""WITH {sql.DAILY}, {_FEATURES_SQL} SELECT key, CAST(d AS VARCHAR) AS day, round(roll_mean_3 + 1e-9, 5) AS roll_mean_3,
-    round(roll_mean_7 + 1e-9, 5) AS roll_mean_7, round(roll_std_5 + 1e-9, 5) AS roll_std_5, CAST(trend_5 AS DOUBLE) AS trend_5 FROM features""",
+    f"""WITH {sql.DAILY}, {_FEATURES_SQL} SELECT key, CAST(d AS VARCHAR) AS day, round(roll_mean_7 + 1e-9, 5) AS roll_mean_7,
+    round(roll_mean_28 + 1e-9, 5) AS roll_mean_28, round(roll_std_7 + 1e-9, 5) AS roll_std_7, CAST(trend_7 AS DOUBLE) AS trend_7 FROM features""",
 )
 def w5(spark, sf):
     return _features(spark, sf).select(
         "key",
         F.col("day").cast("string").alias("day"),
-        steady("roll_mean_3", 5).alias("roll_mean_3"),
         steady("roll_mean_7", 5).alias("roll_mean_7"),
-        steady("roll_std_5", 5).alias("roll_std_5"),
-        "trend_5",
+        steady("roll_mean_28", 5).alias("roll_mean_28"),
+        steady("roll_std_7", 5).alias("roll_std_7"),
+        "trend_7",
     )
 
 
@@ -101,21 +100,19 @@ def w5_monthly(spark, sf):
     )
 
 
-def _supervised(spark, sf, horizons=(1, 2, 3, 5)):
-    return series.supervised(
-        _features(spark, sf), "key", "day", "n", horizons, "day", HISTORY
-    )
+def _supervised(spark, sf):
+    return series.supervised(_features(spark, sf), "key", "day", "n", DAYS_AHEAD, "day")
 
 
-_SUPERVISED_SQL = f"""{sql.DAILY}, {_FEATURES_SQL}, horizons AS (SELECT unnest([1, 2, 3, 5]) AS horizon),
-supervised AS (SELECT f.key, f.d, h.horizon, f.lag_1, f.roll_mean_3, g.n AS y, g.d AS target
-  FROM features f CROSS JOIN horizons h JOIN dense g ON g.key = f.key AND g.t = f.t + h.horizon WHERE f.t >= 7)"""
+_SUPERVISED_SQL = f"""{sql.DAILY}, {_FEATURES_SQL}, horizons AS (SELECT unnest(generate_series(1, 92)) AS horizon),
+supervised AS (SELECT f.key, f.d, h.horizon, f.lag_1, f.roll_mean_28, g.n AS y, g.d AS target
+  FROM features f CROSS JOIN horizons h JOIN dense g ON g.key = f.key AND g.t = f.t + h.horizon WHERE f.t >= 28)"""
 
 
 @query(
     "t2_supervised",
-    f"""WITH {_SUPERVISED_SQL} SELECT key, CAST(d AS VARCHAR) AS day, horizon, CAST(y AS DOUBLE) AS y,
-    CAST(lag_1 AS DOUBLE) AS lag_1, round(roll_mean_3 + 1e-9, 5) AS roll_mean_3, CAST(target AS VARCHAR) AS target_date,
+    f"""WITH {_SUPERVISED_SQL} SELECT key, CAST(d AS VARCHAR) AS day, CAST(horizon AS INT) AS horizon, CAST(y AS DOUBLE) AS y,
+    CAST(lag_1 AS DOUBLE) AS lag_1, round(roll_mean_28 + 1e-9, 5) AS roll_mean_28, CAST(target AS VARCHAR) AS target_date,
     round(sin(2 * pi() * (isodow(target) - 1) / 7), 6) + 0.0 AS dow_sin, isodow(target) >= 6 AS weekend FROM supervised""",
 )
 def t2(spark, sf):
@@ -125,7 +122,7 @@ def t2(spark, sf):
         "horizon",
         "y",
         "lag_1",
-        steady("roll_mean_3", 5).alias("roll_mean_3"),
+        steady("roll_mean_28", 5).alias("roll_mean_28"),
         F.col("target_date").cast("string").alias("target_date"),
         (F.round("dow_sin", 6) + 0.0).alias("dow_sin"),
         (F.col("is_weekend") == 1).alias("weekend"),
@@ -180,9 +177,9 @@ def t4_embargo(spark, sf):
 def t4(spark, sf):
     """Metrics per fold; boosted trees have no SQL."""
     rows = forecasting.training_rows(
-        adapters.daily_series(spark, sf), "key", "day", "n", "day", range(1, 4), SHORT, HISTORY
+        adapters.daily_series(spark, sf), "key", "day", "n", "day", (1, 7, 30, 92)
     )
-    return learn.backtest(rows, series.model_columns("day", SHORT), "day", n=2, iterations=3)
+    return learn.backtest(rows, series.model_columns("day"), "day", iterations=10)
 
 
 _LAST = "last AS (SELECT key, max(d) AS last_date, max(t) AS last_t FROM dense GROUP BY key)"
@@ -190,13 +187,13 @@ _LAST = "last AS (SELECT key, max(d) AS last_date, max(t) AS last_t FROM dense G
 
 @query(
     "t6_seasonal_naive",
-    f"""WITH {sql.DAILY}, {_LAST}, h AS (SELECT unnest(generate_series(1, 10)) AS horizon),
+    f"""WITH {sql.DAILY}, {_LAST}, h AS (SELECT unnest(generate_series(1, 92)) AS horizon),
     w AS (SELECT key, last_t, horizon, last_t + horizon - 7 * CAST(ceil(horizon / 7.0) AS BIGINT) AS src FROM last CROSS JOIN h)
     SELECT w.key, CAST(horizon AS INT) AS horizon, CAST(n AS DOUBLE) AS prediction FROM w JOIN dense x
     ON x.key = w.key AND x.t = CASE WHEN src < 0 THEN last_t ELSE src END""",
 )
 def t6(spark, sf):
-    return series.seasonal_naive(_daily(spark, sf), "key", "day", "n", range(1, 11), "day")
+    return series.seasonal_naive(_daily(spark, sf), "key", "day", "n", DAYS_AHEAD, "day")
 
 
 @query(

@@ -119,7 +119,7 @@ views AS (
 
 # ---- series ----------------------------------------------------------------------------
 DAILY = """points AS (
-  SELECT user_id AS key, CAST(ts AS DATE) AS d, count(*) AS n FROM events GROUP BY 1, 2),
+  SELECT o_orderpriority AS key, CAST(o_orderdate AS DATE) AS d, count(*) AS n FROM orders GROUP BY 1, 2),
 spine AS (
   SELECT key, CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS d
   FROM (SELECT key, min(d) AS lo, max(d) AS hi FROM points GROUP BY key)),

@@ -332,10 +332,10 @@ def raw_views(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- series --------------------------------------------------------------------------
 def daily_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(key, day, n): events per user and day, days without events absent."""
+    """(key, day, n): orders per priority and day over several years, days without one absent."""
     return (
-        table(spark, sf_dir, "events")
-        .groupBy(F.col("user_id").alias("key"), F.to_date("ts").alias("day"))
+        table(spark, sf_dir, "orders")
+        .groupBy(F.col("o_orderpriority").alias("key"), F.to_date("o_orderdate").alias("day"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
 
