@@ -9,26 +9,18 @@ space (whose split depends on its length) is given to the library whole.
 from __future__ import annotations
 
 import os
-import re
+from array import array
 from collections.abc import Callable
 
 import numpy as np
 
 from scriptorium.llm.common import WordCache
 
-_RUNS = re.compile(r"[^\W\d_]+|[\W\d_]+")
-
-
-def _units(word: str) -> list[str]:
-    """A word cut between letters and other characters, where no token spans the cut: not at
-    apostrophes (contractions), where the others are not ASCII (they may combine), or after
-    two blanks (which are split by what follows)."""
-    if word.isalpha() or "'" in word:
-        return [word]
-    runs = _RUNS.findall(word)
-    if all(r.isalpha() if r[0].isalpha() else r.isascii() and not (len(r) > 1 and r[-2:].isspace()) for r in runs):
-        return runs
-    return [word]
+#: What may end a word after its letters without touching their tokens: ASCII but letters, blanks
+#: and the apostrophe of contractions.
+_TAIL = "".join(chr(c) for c in range(33, 127) if not chr(c).isalpha() and chr(c) != "'")
+#: Words of letters that the library gets as one text; one call has a cost of its own.
+_TOGETHER = 64
 
 
 def token_arrays(path: str, drops_space: bool) -> Callable[[list[str]], list[np.ndarray]]:
@@ -43,30 +35,52 @@ def token_arrays(path: str, drops_space: bool) -> Callable[[list[str]], list[np.
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
 
+    names = {i: name for name, i in tokenizer.get_vocab().items()}
+    # A word's first token carries the space before it, or its last one the word's end.
+    marks = np.zeros(max(names) + 1, bool)
+    for i, name in names.items():
+        marks[i] = name.endswith("</w>") if drops_space else name.startswith("\u0120")
+    before = "" if drops_space else " "
+
     def ids(texts: list[str]) -> list[bytes]:
         found = tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(f.ids, "<u4").tobytes() for f in found]
-
-    # Parts of words; most new words are known letters with other punctuation.
-    inner = WordCache(f"units {path}", ids)
-    first = WordCache(f"first units {path}", lambda units: ids([" " + u for u in units]))
-
-    def bare(words: list[str]) -> list[bytes | None]:
-        units = [_units(w) for w in words]
-        known = inner.fill(units)
-        return [b"".join(map(known.__getitem__, u)) for u in units]
-
-    def spaced(words: list[str]) -> list[bytes | None]:
-        """Ids of words with the space before them; None for words that begin or end with
-        white space, or are empty, where the space belongs to a run."""
-        units = [
-            _units(w) if w and not w[0].isspace() and not w[-1].isspace() else None for w in words
+        return [array("I", f.ids).tobytes() for f in found]
+
+    def of_letters(words: list[str]) -> list[bytes]:
+        """Ids of words of letters, many in one text, cut where the next word begins."""
+        groups = [words[i : i + _TOGETHER] for i in range(0, len(words), _TOGETHER)]
+        out: list[bytes] = []
+        for group, data in zip(groups, ids([before + " ".join(g) for g in groups]), strict=True):
+            at = np.flatnonzero(marks[np.frombuffer(data, "<u4")]) + drops_space
+            cuts = [*(4 * at).tolist(), len(data)] if not drops_space else [0, *(4 * at).tolist()]
+            if len(cuts) == len(group) + 1 and cuts[0] == 0 and cuts[-1] == len(data):
+                out += [data[x:y] for x, y in zip(cuts, cuts[1:], strict=False)]
+            else:
+                out += ids([before + w for w in group])
+        return out
+
+    def compute(words: list[str]) -> list[bytes | None]:
+        """Ids of new words, with the space before them where the vocabulary keeps spaces; None
+        for words that begin or end with white space, or are empty, where the space belongs to
+        a run.  A word that is letters with a tail is the ids of both."""
+        known = cache.state["new"]
+        cores = [w.rstrip(_TAIL) for w in words]
+        letters = {c for c in cores if c not in known and c.isalpha()}
+        fresh = list(letters)
+        known.update(zip(fresh, of_letters(fresh), strict=True))
+        plain = [w for w in words if w not in known and not w.rstrip(_TAIL).isalpha() and (drops_space or safe(w))]
+        known.update(zip(plain, ids([before + w for w in plain]), strict=True))
+        tails = list({w[len(c) :] for w, c in zip(words, cores, strict=True) if c.isalpha() and len(c) < len(w)})
+        ends = dict(zip(tails, ids(tails), strict=True))
+        return [
+            known[c] + ends[w[len(c) :]] if c.isalpha() and len(c) < len(w) else known.get(w)
+            for w, c in zip(words, cores, strict=True)
         ]
-        heads = first.fill([u[:1] for u in units if u])
-        known = inner.fill([u[1:] for u in units if u])
-        return [u and b"".join([heads[u[0]], *map(known.__getitem__, u[1:])]) for u in units]
 
-    cache = WordCache(f"words {path}", bare if drops_space else spaced)
+    def safe(word: str) -> bool:
+        return bool(word) and not word[0].isspace() and not word[-1].isspace()
+
+    cache = WordCache(f"words {path}", compute)
 
     def of_words(texts: list[str]) -> list[bytes]:
         # The vocabulary is of lower case; only the sigma's lower case depends on its place.
