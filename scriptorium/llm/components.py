@@ -48,6 +48,19 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     )
 
 
+def with_leaders(members: DataFrame, keys: list[str]) -> DataFrame:
+    """``members`` (``keys``, ``node``, ``weight``) of the keys that two nodes share, with ``lead``: the
+    node of the key with the greatest weight, the greater id of equals.
+
+    A good leader is near to many members, which then need no further look: of copies with
+    small changes, the one that most others were made from.
+    """
+    top = members.groupBy(*keys).agg(
+        F.max(F.struct("weight", "node"))["node"].alias("lead"), F.min("node").alias("_least"), F.max("node").alias("_most")
+    )
+    return members.join(top.where("_least < _most").drop("_least", "_most"), keys).drop("weight")
+
+
 def unresolved_pairs(led: DataFrame, checked: DataFrame, found: DataFrame, percent: int) -> DataFrame:
     """Pairs (``x`` > ``y``) with the ``tier`` and ``key`` of a signature whose sets are not yet in one component, and that the triangle
     inequality leaves open.
@@ -72,7 +85,7 @@ def unresolved_pairs(led: DataFrame, checked: DataFrame, found: DataFrame, perce
     open_ = main.where("parts > 1").select("tier", "key", "main")
     # The leader itself was verified against all; it takes part as no pair.
     members = (
-        placed.where("node > lead")
+        placed.where("node != lead")
         .join(open_, ["tier", "key"])
         .join(far, ["node", "lead"])
         .withColumn("step", F.floor(F.col("far") / F.lit(reach + 1e-9)))

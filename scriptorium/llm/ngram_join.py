@@ -13,7 +13,7 @@ difference: an agreeing segment counts twice, one with one difference once, and
 reach 2m - H together.  Only sets whose frequent signatures alone could reach that sum are
 joined on frequent signatures, against each other.
 
-Within a signature's sets all are verified against the least one; where that leaves sets in
+Within a signature's sets all are verified against the one that shares most signatures; where that leaves sets in
 different components, the rest is verified too, but for pairs that the triangle inequality of
 the Jaccard distance rules out.  Equal sets are one node from the start.  Every link between
 different sets is found or lies inside a component that verified links connect.
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.llm.common import blocks, over_batches, over_streams, shuffle_partitions, stored
-from scriptorium.llm.components import components, unresolved_pairs
+from scriptorium.llm.components import components, unresolved_pairs, with_leaders
 
 WORDS = 4
 PERCENT = 85
@@ -424,10 +424,11 @@ def jaccard_components(
         .distinct(),
         "buckets",
     )
-    leaders = buckets.groupBy("tier", "key").agg(F.min("node").alias("lead"), F.max("node").alias("last"))
-    leaders = leaders.where("lead < last").select("tier", "key", "lead")
-    led = stored(buckets.join(leaders, ["tier", "key"]), "led")
-    star = led.where("node > lead").select(F.col("node").alias("x"), F.col("lead").alias("y")).distinct()
+    # A set that shares many signatures is near to many sets.
+    weight = members.groupBy("node").agg(F.count("*").alias("weight"))
+    weighed = buckets.join(weight, "node", "left").withColumn("weight", F.coalesce("weight", F.lit(0)))
+    led = stored(with_leaders(weighed, ["tier", "key"]), "led")
+    star = led.where("node != lead").select(F.col("node").alias("x"), F.col("lead").alias("y")).distinct()
     checked = stored(_verified(star, sets), "checked")
     linked = F.expr(f"100 * common >= {percent} * (nx + ny - common)")
     links = checked.where(linked).select(F.col("x").alias("a"), F.col("y").alias("b"))
