@@ -109,6 +109,19 @@ def w2(spark, sf):
     return windows.top_partners(_labels(spark, sf), 10)
 
 
+@query("o1_stable_order", f"WITH {_LABELS_SQL} SELECT * FROM labels ORDER BY author_a, author_b")
+def o1(spark, sf):
+    return windows.stable_order(_labels(spark, sf), ["author_a", "author_b"])
+
+
+@query(
+    "o4_capped",
+    f"WITH {_LABELS_SQL} SELECT * FROM labels ORDER BY uplift DESC, author_a, author_b LIMIT 100",
+)
+def o4(spark, sf):
+    return windows.capped(_labels(spark, sf), [F.desc("uplift"), "author_a", "author_b"], 100)
+
+
 _METRICS_SQL = """m AS (SELECT l_suppkey AS fold, l_extendedprice AS y, l_quantity * 1500 AS p, avg(l_extendedprice) OVER (PARTITION BY l_suppkey) AS b FROM lineitem),
 r AS (SELECT fold, CASE WHEN var_pop(y) > 0 THEN 1 - sum((y - p) ^ 2) / (var_pop(y) * count(*)) ELSE 0 END AS r2,
         avg(abs(y - p)) AS mae, avg(abs(y - b)) AS baseline_mae, count(*) AS n_obs FROM m GROUP BY 1)"""

@@ -501,10 +501,12 @@ def w7(spark, sf):
     return windows.top_labels(rounded, "topic").select("researcher_id", "dim", "label")
 
 
-_MIN_SIM = 0.999
+#: Partners of a researcher.
+_PARTNERS = 20
 _SCORES_SQL = f"""{_PROFILES_SQL},
+people AS (SELECT DISTINCT author_id FROM profiles),
 shared AS (SELECT x.author_id AS a, y.author_id AS b, x.dim, x.weight * y.weight AS p
-  FROM profiles x JOIN profiles y ON x.dim = y.dim AND x.author_id < y.author_id),
+  FROM profiles x JOIN profiles y ON x.dim = y.dim AND x.author_id <> y.author_id),
 norms AS (SELECT author_id, split_part(dim, '::', 1) AS level, sqrt(sum(weight * weight)) AS n FROM profiles GROUP BY 1, 2),
 sims AS (SELECT a, b, sum(p) AS tfidf_sim FROM shared GROUP BY 1, 2),
 levels AS (SELECT s.a, s.b, s.level, s.p / (na.n * nb.n) AS sim FROM (
@@ -513,58 +515,66 @@ levels AS (SELECT s.a, s.b, s.level, s.p / (na.n * nb.n) AS sim FROM (
 wide AS (SELECT a, b, coalesce(max(sim) FILTER (level = 'domain'), 0) AS d, coalesce(max(sim) FILTER (level = 'field'), 0) AS f,
     coalesce(max(sim) FILTER (level = 'subfield'), 0) AS sf, coalesce(max(sim) FILTER (level = 'topic'), 0) AS t FROM levels GROUP BY 1, 2),
 emb AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
-matches AS (SELECT s.a AS researcher_a, s.b AS researcher_b, tfidf_sim, coalesce(list_inner_product(x.v, y.v), 0) AS embedding_sim,
-    (0.2 * d + 0.3 * f + 0.5 * sf) * (1 - t) AS complementarity
-  FROM sims s JOIN wide w ON w.a = s.a AND w.b = s.b LEFT JOIN emb x ON x.vec_id = s.a LEFT JOIN emb y ON y.vec_id = s.b
-  WHERE tfidf_sim >= {_MIN_SIM})"""
+matches AS (SELECT p.author_id AS researcher_a, q.author_id AS researcher_b, coalesce(tfidf_sim, 0) AS tfidf_sim,
+    coalesce(list_inner_product(x.v, y.v), 0) AS embedding_sim,
+    0.5 * coalesce(tfidf_sim, 0) + 0.5 * coalesce(list_inner_product(x.v, y.v), 0) AS similarity,
+    coalesce((0.2 * d + 0.3 * f + 0.5 * sf) * (1 - t), 0) AS complementarity
+  FROM people p JOIN people q ON p.author_id <> q.author_id
+  LEFT JOIN sims s ON s.a = p.author_id AND s.b = q.author_id LEFT JOIN wide w ON w.a = p.author_id AND w.b = q.author_id
+  LEFT JOIN emb x ON x.vec_id = p.author_id LEFT JOIN emb y ON y.vec_id = q.author_id)"""
 
 
-@query(
-    "j13_similar_profiles",
-    f"WITH {_SCORES_SQL} SELECT a, b, round(tfidf_sim + 1e-9, 6) AS similarity FROM sims WHERE tfidf_sim >= {_MIN_SIM}",
-)
-def j13(spark, sf):
-    pairs = neighbours.similar_profiles(_stored_profiles(spark, sf), _MIN_SIM)
-    return pairs.select("a", "b", steady("similarity", 6).alias("similarity"))
+def _best_sql(by: str) -> str:
+    return f"""WITH {_SCORES_SQL} SELECT researcher_a, researcher_b, round(tfidf_sim + 1e-9, 6) AS tfidf_sim, round(embedding_sim + 1e-9, 6) AS embedding_sim,
+    round(similarity + 1e-9, 6) AS similarity, round(complementarity + 1e-9, 6) AS complementarity FROM matches
+    QUALIFY row_number() OVER (PARTITION BY researcher_a ORDER BY round({by}, 9) DESC, researcher_b) <= {_PARTNERS}"""
 
 
-def _matches(spark, sf, profiles=None):
+def _matches(spark, sf, by, profiles=None):
     embedded = adapters.vectors(spark, sf).select(
         F.col("author_id").alias("researcher_id"), F.col("vector").cast("array<double>").alias("vector")
     )
-    return matching.match_researchers(
-        _stored_profiles(spark, sf) if profiles is None else profiles, embedded, _MIN_SIM
+    return matching.best_matches(_profiles(spark, sf) if profiles is None else profiles, embedded, _PARTNERS, by)
+
+
+def _scores(matches):
+    return matches.select(
+        "researcher_a", "researcher_b", *[steady(n, 6).alias(n) for n in matching.MATCH_SCORES]
     )
 
 
-@query(
-    "m2_match_researchers",
-    f"""WITH {_SCORES_SQL} SELECT researcher_a, researcher_b, round(tfidf_sim + 1e-9, 6) AS tfidf_sim, round(embedding_sim + 1e-9, 6) AS embedding_sim,
-    round(0.5 * tfidf_sim + 0.5 * embedding_sim + 1e-9, 6) AS similarity, round(complementarity + 1e-9, 6) AS complementarity FROM matches""",
-)
+@query("j13_similar_profiles", _best_sql("tfidf_sim"))
+def j13(spark, sf):
+    return _scores(_matches(spark, sf, "tfidf_sim"))
+
+
+@query("m2_match_researchers", _best_sql("similarity"))
 def m2(spark, sf):
-    names = ("tfidf_sim", "embedding_sim", "similarity", "complementarity")
-    return _matches(spark, sf).select(
-        "researcher_a", "researcher_b", *[steady(n, 6).alias(n) for n in names]
-    )
+    return _scores(_matches(spark, sf, "similarity"))
+
+
+@query("m2_complementary_researchers", _best_sql("complementarity"))
+def m2_complementary(spark, sf):
+    return _scores(_matches(spark, sf, "complementarity"))
+
+
+_TOP_SQL = f"ORDER BY round(complementarity, 9) DESC, researcher_a, researcher_b LIMIT {_PARTNERS}"
 
 
 @query(
     "o2_top_matches",
     f"""WITH {_SCORES_SQL} SELECT researcher_a, researcher_b, round(complementarity + 1e-9, 6) AS complementarity FROM matches
-    ORDER BY round(complementarity + 1e-9, 6) DESC, researcher_a, researcher_b LIMIT 20""",
+    WHERE researcher_a < researcher_b {_TOP_SQL}""",
 )
 def o2(spark, sf):
-    scored = _matches(spark, sf).select(
-        "researcher_a", "researcher_b", steady("complementarity", 6).alias("complementarity")
-    )
-    return windows.top_matches(scored, "complementarity", 20, ["researcher_a", "researcher_b"])
+    top = matching.top_overall(_matches(spark, sf, "complementarity"), _PARTNERS)
+    return top.select("researcher_a", "researcher_b", steady("complementarity", 6).alias("complementarity"))
 
 
 @query(
     "m3_explain",
     f"""WITH {_SCORES_SQL},
-    top AS (SELECT researcher_a AS a, researcher_b AS b FROM matches ORDER BY round(complementarity + 1e-9, 6) DESC, researcher_a, researcher_b LIMIT 20),
+    top AS (SELECT researcher_a AS a, researcher_b AS b FROM matches WHERE researcher_a < researcher_b {_TOP_SQL}),
     r AS (SELECT t.a, t.b, split_part(p.dim, '::', 1) AS level, p.dim, p.label,
             row_number() OVER (PARTITION BY t.a, t.b, split_part(p.dim, '::', 1) ORDER BY round(p.weight, 9) DESC, p.dim) AS rn
           FROM top t JOIN profiles p ON p.author_id = t.b JOIN profiles q ON q.author_id = t.a AND q.dim = p.dim)
@@ -575,12 +585,8 @@ def o2(spark, sf):
 def m3(spark, sf):
     stored = _stored_profiles(spark, sf)
     profiles = stored.withColumn("weight", F.round("weight", 9))
-    scored = _matches(spark, sf, stored).select(
-        "researcher_a", "researcher_b", steady("complementarity", 6).alias("complementarity")
-    )
-    top = materialize(
-        windows.top_matches(scored, "complementarity", 20, ["researcher_a", "researcher_b"]), "top"
-    )
+    found = _matches(spark, sf, "complementarity", stored)
+    top = materialize(matching.top_overall(found, _PARTNERS), "top")
     return matching.explain(top, profiles).select(
         "researcher_a",
         "researcher_b",

@@ -279,10 +279,3 @@ def segments(text: Column) -> Column:
             ),
         )
     )
-
-
-def words(text: Column) -> Column:
-    """Distinct lower-case words (letters and digits) of a text."""
-    return F.array_distinct(
-        F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda word: word != "")
-    )

@@ -40,10 +40,6 @@ TEST_PATTERNS = {
 }
 # -------------------------------------------------------------------------------------
 
-#: Lists inlined into a plan stay below this many values; longer ones are joined.
-INLINE_LIST_LIMIT = 1_000
-#: A literal opposition list up to this size is broadcast; a longer one is shuffled.
-BROADCAST_TEXT_LIMIT = 4 << 20
 
 
 # ---- nested works --------------------------------------------------------------------
@@ -109,46 +105,39 @@ def stage_works(works: DataFrame) -> DataFrame:
     )
 
 
-def _has_institution(authorships: Column, ids: Sequence, field: str) -> Column:
-    return F.exists(
-        authorships, lambda a: F.exists(a["institutions"], lambda i: i[field].isin(*ids))
-    )
-
-
-def _check_inline(ids: Sequence) -> list:
-    ids = list(ids)
-    if len(ids) > INLINE_LIST_LIMIT:
-        raise ValueError(
-            f"{len(ids)} ids: explode the institutions and left-semi join a table of ids instead"
-        )
-    return ids
+def _ids_table(works: DataFrame, ids: Sequence | DataFrame, name: str) -> DataFrame:
+    """Distinct ids as a one-column table, from a list or from the first column of a table."""
+    if isinstance(ids, DataFrame):
+        table = ids.select(F.col(ids.columns[0]).cast("string").alias(name))
+    else:
+        table = works.sparkSession.createDataFrame([(i,) for i in ids], f"{name} string")
+    return table.where(F.col(name).isNotNull()).distinct()
 
 
 def filter_scope(
-    works: DataFrame, ids: Sequence, min_year: int | None = None, field: str = "ror"
+    works: DataFrame, ids: Sequence | DataFrame, min_year: int | None = None, field: str = "ror"
 ) -> DataFrame:
-    """Works with any institution in ``ids`` published since ``min_year``.
+    """Works with any institution in ``ids`` (a list or a table of any length) since ``min_year``.
 
-    Stays at work grain: no explosion, no duplicates, no shuffle; the year reaches the
-    Parquet scan.
+    The year reaches the Parquet scan.  Only work and institution ids meet the scope; a work
+    matches once, however many of its institutions are in scope.
     """
-    ids = _check_inline(ids)
-    if not ids:
-        return works.limit(0)
     kept = works if min_year is None else works.where(F.col("publication_year") >= min_year)
-    return kept.where(_has_institution(F.col("authorships"), ids, field))
+    links = kept.select("work_id", F.explode("authorships").alias("a")).select(
+        "work_id", F.explode(F.col("a.institutions")[field]).alias("_scope")
+    )
+    found = links.join(_ids_table(works, ids, "_scope"), "_scope", "left_semi").select("work_id").distinct()
+    return kept.join(found, "work_id", "left_semi")
 
 
-def affiliated_authors(works: DataFrame, ids: Sequence, field: str = "ror") -> DataFrame:
-    """Distinct authors with an affiliation in ``ids`` (one shuffle, partial distinct)."""
-    ids = _check_inline(ids)
-    links = works.select(F.explode("authorships").alias("a")).where(
-        F.col("a.author.id").isNotNull()
-    )
-    member = (
-        F.exists(F.col("a.institutions"), lambda i: i[field].isin(*ids)) if ids else F.lit(False)
+def affiliated_authors(works: DataFrame, ids: Sequence | DataFrame, field: str = "ror") -> DataFrame:
+    """Distinct authors with an affiliation in ``ids`` (a list or a table of any length)."""
+    links = (
+        works.select(F.explode("authorships").alias("a"))
+        .select(F.col("a.author.id").alias("author_id"), F.explode(F.col("a.institutions")[field]).alias("_scope"))
+        .where(F.col("author_id").isNotNull())
     )
-    return links.where(member).select(F.col("a.author.id").alias("author_id")).distinct()
+    return links.join(_ids_table(works, ids, "_scope"), "_scope", "left_semi").select("author_id").distinct()
 
 
 def prefilter(works: DataFrame, min_year: int = 2016, kind: str = "article") -> DataFrame:
@@ -274,8 +263,6 @@ def purge(links: DataFrame, opposed: DataFrame | str) -> DataFrame:
             F.col("p.author_id").cast(links.schema["author_id"].dataType).alias("author_id"),
             F.col("p.work_id").cast(links.schema["work_id"].dataType).alias("work_id"),
         )
-        if len(opposed) <= BROADCAST_TEXT_LIMIT:
-            pairs = F.broadcast(pairs)
     else:
         pairs = opposed.select("author_id", "work_id")
     return links.join(pairs, ["author_id", "work_id"], "left_anti")
@@ -402,18 +389,23 @@ def filter_by(df: DataFrame, attributes: Mapping[str, object]) -> DataFrame:
 
 def decide(
     events: DataFrame,
-    accepted: Iterable[str],
+    accepted: Iterable[str] | DataFrame,
     attributes: Mapping[str, object] | None = None,
     now: Column | None = None,
 ) -> DataFrame:
-    """Pending events (of the attributes) become accepted when their value is, else rejected."""
-    pending = filter_by(events, {**(attributes or {}), "status": PENDING})
-    values = _check_inline(list(accepted))
-    member = F.col("value").isin(*values) if values else F.lit(False)
+    """Pending events (of the attributes) become accepted when their value is, else rejected.
+
+    ``accepted``: a list or a one-column table of values, of any length.
+    """
+    values = _ids_table(events, accepted if isinstance(accepted, DataFrame) else list(accepted), "_value")
+    pending = filter_by(events, {**(attributes or {}), "status": PENDING}).join(
+        values, F.col("value") == F.col("_value"), "left"
+    )
+    member = F.col("_value").isNotNull()
     stamp = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
     return pending.withColumn(
         "status", F.when(member, F.lit(ACCEPTED)).otherwise(F.lit(REJECTED))
-    ).withColumn("updatedAt", stamp if now is None else now)
+    ).withColumn("updatedAt", stamp if now is None else now).drop("_value")
 
 
 def _pending_event(df: DataFrame, entity: str, field: str, value: Column, label: Column) -> DataFrame:

@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium import schemas
-from scriptorium.operators.dedup import latest_by
 from scriptorium.session import materialize, scratch_path
 
 # ---- fixed values --------------------------------------------------------------------
@@ -205,12 +204,6 @@ def upsert(
     ).partitionBy(*partition).parquet(target)
 
 
-def latest_wins(stored: DataFrame, incoming: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Stored and incoming rows with one row per key, the incoming one where both exist."""
-    both = stored.withColumn("_age", F.lit(0)).unionByName(incoming.withColumn("_age", F.lit(1)))
-    return latest_by(both, keys, ["_age"]).drop("_age")
-
-
 def append_jdbc(df: DataFrame, url: str, table: str, dt: str, run: str, properties: dict[str, str]) -> None:
     """Append one (dt, run) to a database table; the caller deletes that pair before."""
     df.withColumn("dt", F.lit(dt)).withColumn("run", F.lit(run)).write.jdbc(
@@ -244,4 +237,3 @@ def with_cache(df: DataFrame, mode: str, root: str | None = None, run: str = "ru
 def manifest_json(manifest: DataFrame) -> dict:
     """The one-row manifest as a dictionary."""
     return json.loads(manifest.select(F.to_json(F.struct("*"))).first()[0])
-

@@ -51,6 +51,40 @@ def test_similarity_join_is_exact(spark, minimum):
     assert {(r.a, r.b) for r in neighbours.similar_profiles(df, minimum).collect()} == expected
 
 
+@pytest.mark.parametrize("by", ["similarity", "complementarity"])
+def test_best_matches_do_not_depend_on_blocks(spark, by):
+    rng = random.Random(4)
+    rows = []
+    for i in range(60):
+        own = {f"{level}::{rng.randrange(size)}" for level, size in (("domain", 2), ("field", 4), ("subfield", 8), ("topic", 40)) for _ in range(3)}
+        weights = [rng.random() for _ in own]
+        size = sum(w * w for w in weights) ** 0.5
+        rows += [(i, d, w / size) for d, w in zip(sorted(own), weights)]
+    profiles = spark.createDataFrame(rows, "researcher_id int, dim string, weight double")
+    embedded = spark.createDataFrame([(i, [1.0, 0.0] if i % 2 else [0.6, 0.8]) for i in range(0, 60, 3)], "researcher_id int, vector array<double>")
+    found = [
+        {(r.researcher_a, r.researcher_b, round(r[by], 9)) for r in matching.best_matches(profiles, embedded, 5, by, block=b).collect()}
+        for b in (7, 1000)
+    ]
+    assert found[0] == found[1] and len(found[0]) == 300
+    top = matching.top_overall(matching.best_matches(profiles, embedded, 5, by), 5, by).collect()
+    assert [round(r[by], 9) for r in top] == sorted((s for a, b, s in found[0] if a < b), reverse=True)[:5]
+
+
+def test_scope_of_any_length(spark):
+    works = spark.createDataFrame(
+        [(i, 2000 + i % 3, [{"author": {"id": f"A{i}"}, "institutions": [{"ror": f"r{i}"}, {"ror": f"r{i + 1}"}]}]) for i in range(50)],
+        "work_id int, publication_year int, authorships array<struct<author: struct<id: string>, institutions: array<struct<ror: string>>>>",
+    )
+    ids = [f"r{i}" for i in range(30, 5_000)]
+    table = spark.createDataFrame([(i,) for i in ids], "ror string")
+    for scope in (ids, table):
+        kept = reshape.filter_scope(works, scope, 2001)
+        assert {r.work_id for r in kept.collect()} == {i for i in range(29, 50) if i % 3}
+        assert reshape.affiliated_authors(works, scope).count() == 21
+    assert reshape.filter_scope(works, []).count() == 0
+
+
 @pytest.mark.parametrize("batch", [3, 256])
 def test_leader_clustering_is_exact(spark, batch):
     rng = random.Random(5)
