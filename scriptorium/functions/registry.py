@@ -10,7 +10,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scriptorium.functions import text
+from scriptorium.functions import text, vectors
 from scriptorium.functions.text import (
     SEGMENT_LONG_LINE,
     SEGMENT_MIN_CHARS,
@@ -137,6 +137,23 @@ def _function_bodies() -> dict[str, tuple[str, str, str]]:
             "string",
             f"coalesce({respondents}, concat('user:', username))",
         ),
+        "cosine_similarity": (
+            "a array<double>, b array<double>",
+            "double",
+            f"CASE WHEN {size('a')} * {size('b')} = 0 THEN 0.0D ELSE {inner('a', 'b')} / ({size('a')} * {size('b')}) END",
+        ),
+        "complementarity": (
+            ", ".join(f"{level} double" for level in vectors.COMPLEMENTARITY_WEIGHTS) + ", topic double",
+            "double",
+            "("
+            + " + ".join(f"{level} * {weight}D" for level, weight in vectors.COMPLEMENTARITY_WEIGHTS.items())
+            + ") * (1 - topic)",
+        ),
+        "ensemble": (
+            "tfidf double, embedding double",
+            "double",
+            " + ".join(f"{name} * {weight}D" for name, weight in vectors.ENSEMBLE_WEIGHTS.items()),
+        ),
         "extract_dois": (
             "txt string",
             "array<string>",
@@ -146,6 +163,16 @@ def _function_bodies() -> dict[str, tuple[str, str, str]]:
     }
 
 
+def inner(a: str, b: str) -> str:
+    """SQL of the inner product of two arrays, summed in index order."""
+    return f"aggregate(zip_with({a}, {b}, (x, y) -> x * y), 0.0D, (total, x) -> total + x)"
+
+
+def size(a: str) -> str:
+    """SQL of the length of a vector."""
+    return f"sqrt({inner(a, a)})"
+
+
 def _quoted_doi() -> str:
     return "'" + text.DOI_REGEX.replace("\\", "\\\\").replace("'", "\\'") + "'"
 

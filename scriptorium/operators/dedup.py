@@ -64,9 +64,11 @@ def dedupe_logs(logs: DataFrame, position: str = "position") -> DataFrame:
 def event_id(namespace: str, columns: Sequence[str] = ("entity", "field", "from", "id", "value")) -> Column:
     """Name-based (version 5) UUID of the canonical JSON of the columns.
 
-    ``namespace`` is a UUID.  Canonical JSON has sorted keys and no spaces.
+    ``namespace`` is a UUID.  Canonical JSON has sorted keys, no spaces, and ``null`` for
+    missing values.
     """
-    payload = F.to_json(F.struct(*[F.col(f"`{c}`").cast("string").alias(c) for c in sorted(columns)]))
+    fields = F.struct(*[F.col(f"`{c}`").cast("string").alias(c) for c in sorted(columns)])
+    payload = F.to_json(fields, {"ignoreNullFields": "false"})
     prefix = bytes.fromhex(namespace.replace("-", ""))
     digest = F.sha1(F.concat(F.lit(prefix), F.encode(payload, "UTF-8")))
     variant = F.translate(digest.substr(17, 1), "0123456789abcdef", "89ab" * 4)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 import pytest
 from pyspark.sql import functions as F
 
-from scriptorium.functions import register_functions, text
-from scriptorium.operators import reshape
+from scriptorium.functions import register_functions, text, vectors
+from scriptorium.operators import dedup, reshape
 from scriptorium.sources import scans
 
 
@@ -81,6 +83,27 @@ def test_sql_functions_equal_columns(spark):
     assert [tuple(r) for r in by_sql] == [tuple(r) for r in by_column]
 
 
+def test_sql_vector_functions_equal_columns(spark):
+    register_functions(spark)
+    rows = spark.createDataFrame([([1.0, 2.0], [3.0, -1.0]), ([0.0, 0.0], [1.0, 1.0])], "a array<double>, b array<double>")
+    rows.createOrReplaceTempView("vectors_in")
+    by_sql = spark.sql(
+        "SELECT cosine_similarity(a, b) c, complementarity(a[0], a[1], b[0], b[1]) m, ensemble(a[0], b[0]) e FROM vectors_in"
+    ).collect()
+    a, b = F.col("a"), F.col("b")
+    levels = {"domain": a[0], "field": a[1], "subfield": b[0], "topic": b[1]}
+    by_column = rows.select(vectors.cosine(a, b), vectors.complementarity(levels), vectors.ensemble(a[0], b[0])).collect()
+    for one_row, other in zip(by_sql, by_column, strict=True):
+        assert all(abs(x - y) < 1e-12 for x, y in zip(one_row, other, strict=True))
+
+
+def test_event_id_keeps_missing_fields(spark):
+    space = "6ba7b810-9dad-11d1-80b4-00c04fd430c8"
+    events = spark.createDataFrame([("e", "f", "a", "i", None)], "entity string, field string, from string, id string, value string")
+    text_ = '{"entity":"e","field":"f","from":"a","id":"i","value":null}'
+    assert events.select(dedup.event_id(space)).first()[0] == str(uuid.uuid5(uuid.UUID(space), text_))
+
+
 def test_segments_table_function(spark):
     register_functions(spark)
     content = "abcdefghi " * 60 + "\nshort\n a line of more than twenty characters "
