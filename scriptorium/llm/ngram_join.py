@@ -13,7 +13,7 @@ difference: an agreeing segment counts twice, one with one difference once, and
 reach 2m - H together.  Only sets whose frequent signatures alone could reach that sum are
 joined on frequent signatures, against each other.
 
-Within a signature's sets all are verified against the one that shares most signatures; where that leaves sets in
+Sets that share fewer signatures than any link needs leave first.  Within a signature's sets all are verified against the one that shares most signatures; where that leaves sets in
 different components, the rest is verified too, but for pairs that the triangle inequality of
 the Jaccard distance rules out.  Equal sets are one node from the start.  Every link between
 different sets is found or lies inside a component that verified links connect.
@@ -35,6 +35,7 @@ PERCENT = 85
 FREQUENT = 64
 #: Growth of size bands.
 RATIO = 1.6
+SPARE = "array<struct<band:int,n:int>>"
 
 _U = np.uint64
 _SEED = np.random.default_rng(20_240_607)
@@ -162,25 +163,32 @@ def _signatures(part: Partition, tokens: np.ndarray, band: int, m: int):
 
 
 def profile(rows: DataFrame, words: int, part: Partition) -> DataFrame:
-    """``doc_id``, ``n`` (set size), ``a`` and ``b`` (identity) and ``thin``: too many empty
-    segments to rely on signatures alone."""
+    """``doc_id``, ``n`` (set size), ``a`` and ``b`` (identity), ``spare`` (per band, how many of the
+    segments that are not empty may go unprobed) and ``thin``: some band has none to spare, its
+    empty segments are too many to rely on signatures alone."""
 
     def begin():
         def each(batch):
             for block in blocks(batch, "text"):
                 sets = ngram_sets(block.column("text"), words)
                 ids = [identity(s) for s in sets]
+                spare = [
+                    [{"band": band, "n": _spare(part, s, band, m, most)} for band, m, most in part.bands(len(s))]
+                    for s in sets
+                ]
                 yield {
                     "doc_id": block.column("doc_id"),
                     "n": [len(s) for s in sets],
                     "a": [i[0] for i in ids],
                     "b": [i[1] for i in ids],
-                    "thin": [any(_spare(part, s, *b) < 0 for b in part.bands(len(s))) for s in sets],
+                    "spare": spare,
+                    "thin": [any(e["n"] < 0 for e in s) for s in spare],
                 }
 
         return each
 
-    return over_batches(rows, begin, "doc_id long, n long, a long, b long, thin boolean")
+    schema = f"doc_id long, n long, a long, b long, spare {SPARE}, thin boolean"
+    return over_batches(rows, begin, schema)
 
 
 def _spare(part: Partition, tokens: np.ndarray, band: int, m: int, most: int) -> int:
@@ -188,6 +196,21 @@ def _spare(part: Partition, tokens: np.ndarray, band: int, m: int, most: int) ->
     return m - most - 1 - (m - len(np.unique(part.segments(tokens, band, m))))
 
 
+def _linkable(shared: DataFrame, need: DataFrame) -> DataFrame:
+    """The rows of ``shared`` (``key``, ``a``) of sets that share enough signatures to link at all.
+
+    A linked set shares one more than it may leave unprobed (``need``: ``a``, ``band``, ``need``).
+    Without the other sets, a signature may have one set left; so twice.
+    """
+    for _ in range(2):
+        rows = shared.withColumn("band", F.col("key").bitwiseAND(63).cast("int"))
+        enough = rows.groupBy("a", "band").agg(F.count("*").alias("n")).join(need, ["a", "band"]).where("n >= need")
+        rows = rows.join(enough.select("a", "band"), ["a", "band"], "left_semi")
+        keys = rows.groupBy("key").agg(F.min("a").alias("low"), F.max("a").alias("high")).where("low < high")
+        shared = rows.join(keys.select("key"), "key", "left_semi").select("key", "a")
+    return shared
+
+
 def shared_signatures(rows: DataFrame, words: int, part: Partition) -> DataFrame:
     """``key`` and ``a``: the signatures that at least two different sets have, each once a set."""
 
@@ -300,7 +323,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return over_batches(both, begin, "x long, y long, common long, nx long, ny long")
 
 
-def _likely(pairs: DataFrame, sets: DataFrame, busy: DataFrame) -> DataFrame:
+def _likely(pairs: DataFrame, classes: DataFrame, busy: DataFrame) -> DataFrame:
     """``pairs`` that share as many signatures as linked sets must, each once.
 
     A set with more unprobed segments to spare than it has frequent signatures shares one
@@ -309,7 +332,7 @@ def _likely(pairs: DataFrame, sets: DataFrame, busy: DataFrame) -> DataFrame:
     """
     hot = busy.select("node", F.explode("busy").alias("e")).select("node", "e.band", F.col("e.n").alias("hot"))
     margin = (
-        sets.select("node", F.explode("spare").alias("e"))
+        classes.select("node", F.explode("spare").alias("e"))
         .select("node", "e.band", "e.n")
         .join(hot, ["node", "band"], "left")
         .select("node", "band", (F.col("n") - F.coalesce("hot", F.lit(0))).alias("margin"))
@@ -350,12 +373,17 @@ def jaccard_components(
     each = stored(profile(rows, words, part), "profile")
     full = each.where("n > 0 and doc_id is not null")
     classes = stored(
-        full.groupBy("a", "b").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.max("thin").alias("thin")),
+        full.groupBy("a", "b").agg(
+            F.min("doc_id").alias("node"), F.first("n").alias("n"), F.max("thin").alias("thin"), F.first("spare").alias("spare")
+        ),
         "classes",
     )
-    shared = stored(shared_signatures(rows.where("doc_id is not null"), words, part), "shared")
-    asked = classes.join(shared.select("a").distinct(), "a", "left_semi").union(classes.where("thin")).distinct()
-    asked = asked.select("node", "a", "b")
+    every = stored(shared_signatures(rows.where("doc_id is not null"), words, part), "shared")
+    need = classes.select("a", F.explode("spare").alias("e")).select("a", "e.band", (F.col("e.n") + 1).alias("need"))
+    shared = stored(_linkable(every, need), "linkable")
+    named = classes.select("node", "a", "b", "thin")
+    asked = named.join(shared.select("a").distinct(), "a", "left_semi").select("node", "a", "b")
+    asked = asked.union(named.where("thin").select("node", "a", "b")).distinct()
 
     def begin():
         def take(batch):
@@ -368,21 +396,13 @@ def jaccard_components(
                     "node": [k[0] for k in kept],
                     "a": [k[1] for k in kept],
                     "tokens": [k[2].tobytes() for k in kept],
-                    "spare": [
-                        [{"band": band, "n": _spare(part, s, band, m, most)} for band, m, most in part.bands(len(s))]
-                        for _, _, s in kept
-                    ],
                 }
 
         return take
 
     texts = rows.join(asked, rows["doc_id"] == asked["node"]).select("node", "a", "b", "text")
-    spare = "array<struct<band:int,n:int>>"
-    read = over_batches(texts, begin, f"node long, a long, tokens binary, spare {spare}")
-    # Rows with equal ids and texts are read more than once.
-    sets = stored(
-        read.groupBy("node", "a").agg(F.first("tokens").alias("tokens"), F.first("spare").alias("spare")), "sets"
-    )
+    # Rows with equal ids and texts come more than once; what follows counts none of them twice.
+    sets = stored(over_batches(texts, begin, "node long, a long, tokens binary"), "sets")
     members = stored(
         shared.join(classes.select("a", "node"), "a").select("key", "node").distinct(), "members"
     )
@@ -433,14 +453,14 @@ def jaccard_components(
     linked = F.expr(f"100 * common >= {percent} * (nx + ny - common)")
     links = checked.where(linked).select(F.col("x").alias("a"), F.col("y").alias("b"))
     found = stored(components(links), "components")
-    rest = _likely(unresolved_pairs(led, checked, found, percent), sets, busy)
+    rest = _likely(unresolved_pairs(led, checked, found, percent), classes, busy)
     more = stored(_verified(rest, sets), "rest").where(linked).select(F.col("x").alias("a"), F.col("y").alias("b"))
     if more.head(1):
         found = stored(components(links.union(more)), "components")
-    named = classes.join(found, "node", "left").select(
+    placed = classes.join(found, "node", "left").select(
         "a", "b", F.coalesce("component", "node").alias("component")
     )
-    linked_rows = full.join(named, ["a", "b"]).select(
+    linked_rows = full.select("doc_id", "n", "a", "b").join(placed, ["a", "b"]).select(
         "doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id")
     )
     alone = each.where("n = 0 or doc_id is null").select(
