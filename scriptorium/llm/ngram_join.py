@@ -6,12 +6,12 @@ they share the signature of a segment.  The number of segments is fixed by the s
 the larger set; a set also emits signatures for the next band where a partner may lie there.
 
 Signatures cost what others share them, so allocation is by frequency.  With m - H agreeing
-segments a set may leave up to m - H - 1 of its segments unprobed: those that are empty or
-whose signature is frequent.  Where a set has more of these, its other segments also take
-their one-deletion neighbourhoods (a segment less one n-gram), which finds segments with one
-difference: an agreeing segment counts twice, one with one difference once, and linked sets
-reach 2m - H together.  Only sets whose frequent signatures alone could reach that sum are
-joined on frequent signatures, against each other.
+segments a set may leave m - H - 1 unprobed: first its empty ones, then the most frequent, in
+one order for all sets, so that linked sets still share a probed one.  A set with more empty
+segments than it may leave takes the one-deletion neighbourhoods as well (a segment less one
+n-gram), which find segments with one difference: an agreeing segment counts twice, one with
+one difference once, and linked sets reach 2m - H together.  Only sets whose empty segments and
+frequent neighbourhoods alone could reach that sum are joined on these, against each other.
 
 Sets that share fewer signatures than any link needs leave first.  Within a signature's sets all are verified against the one that shares most signatures; where that leaves sets in
 different components, the rest is verified too, but for pairs that the triangle inequality of
@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptorium.llm.common import blocks, over_batches, over_streams, shuffle_partitions, stored
@@ -257,8 +257,8 @@ def shared_signatures(rows: DataFrame, words: int, part: Partition) -> DataFrame
 
 
 def _deletions(sets: DataFrame, part: Partition) -> DataFrame:
-    """Signatures and one-deletion neighbourhoods of sets (``node``, ``tokens``, ``busy``: an
-    array of (band, frequent signatures)) that leave too many segments unprobed.
+    """Signatures and one-deletion neighbourhoods of sets (``node``, ``tokens``), in the bands where
+    empty segments are more than may go unprobed.
 
     Rows: ``key``, ``node``, ``band``, ``segment``, ``weight`` (2 for the whole segment, 1 for a
     segment less one), ``void`` (nothing is left in it) and ``need``, the sum that links reach.
@@ -266,18 +266,12 @@ def _deletions(sets: DataFrame, part: Partition) -> DataFrame:
 
     def begin():
         def each(batch):
-            for node, data, busy in zip(
-                batch.column("node").to_pylist(),
-                batch.column("tokens").to_pylist(),
-                batch.column("busy").to_pylist(),
-                strict=True,
-            ):
+            for node, data in zip(batch.column("node").to_pylist(), batch.column("tokens").to_pylist(), strict=True):
                 tokens = np.frombuffer(data, _U)
-                frequent = {b["band"]: b["n"] for b in busy or []}
                 for band, m, most in part.bands(len(tokens)):
                     segment = part.segments(tokens, band, m)
                     count = np.bincount(segment, minlength=m)
-                    if m - most - 1 - int((count == 0).sum()) >= frequent.get(band, 0):
+                    if m - most - 1 - int((count == 0).sum()) >= 0:
                         continue
                     hashed = mix(tokens)
                     sums = np.zeros(m, _U)
@@ -297,7 +291,7 @@ def _deletions(sets: DataFrame, part: Partition) -> DataFrame:
         return each
 
     schema = "key long, node long, band int, segment int, weight int, void boolean, need int"
-    return over_batches(sets, begin, schema)
+    return over_batches(sets.select("node", "tokens"), begin, schema)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -323,33 +317,22 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return over_batches(both, begin, "x long, y long, common long, nx long, ny long")
 
 
-def _likely(pairs: DataFrame, classes: DataFrame, busy: DataFrame) -> DataFrame:
-    """``pairs`` that share as many signatures as linked sets must, each once.
+def _probed(shared: DataFrame, need: DataFrame) -> DataFrame:
+    """``shared`` (``key``, ``a``) without the signatures that a set leaves unprobed: its most frequent
+    ones, as many as it has to spare.
 
-    A set with more unprobed segments to spare than it has frequent signatures shares one
-    more signature than that difference with every set it links to.  Pairs that meet in
-    one-deletion neighbourhoods stay.
+    The order by frequency, then key, is the same for all sets.  Linked sets share more
+    signatures than either may leave out, so the least frequent one of these stays in both.
     """
-    hot = busy.select("node", F.explode("busy").alias("e")).select("node", "e.band", F.col("e.n").alias("hot"))
-    margin = (
-        classes.select("node", F.explode("spare").alias("e"))
-        .select("node", "e.band", "e.n")
-        .join(hot, ["node", "band"], "left")
-        .select("node", "band", (F.col("n") - F.coalesce("hot", F.lit(0))).alias("margin"))
+    sizes = shared.groupBy("key").agg(F.count("*").alias("sets"))
+    order = Window.partitionBy("a", "band").orderBy(F.desc("sets"), "key")  # at most a set's segments
+    ranked = (
+        shared.join(sizes, "key")
+        .withColumn("band", F.col("key").bitwiseAND(63).cast("int"))
+        .withColumn("rank", F.row_number().over(order))
     )
-    counted = (
-        pairs.where("tier = 0")
-        .groupBy("x", "y", F.col("key").bitwiseAND(63).cast("int").alias("band"))
-        .agg(F.count("*").alias("shared"))
-    )
-    for side in ("x", "y"):
-        counted = (
-            counted.join(margin.withColumnRenamed("node", side), [side, "band"])
-            .where("shared > margin")
-            .drop("margin")
-        )
-    other = pairs.where("tier > 0").select("x", "y")
-    return counted.select("x", "y").union(other).distinct()
+    least = need.groupBy("a", "band").agg(F.min("need").alias("need"))
+    return ranked.join(least, ["a", "band"]).where("rank >= need").select("key", "a")
 
 
 def jaccard_components(
@@ -404,25 +387,10 @@ def jaccard_components(
     # Rows with equal ids and texts come more than once; what follows counts none of them twice.
     sets = stored(over_batches(texts, begin, "node long, a long, tokens binary"), "sets")
     members = stored(
-        shared.join(classes.select("a", "node"), "a").select("key", "node").distinct(), "members"
-    )
-    sizes = members.groupBy("key").agg(F.count("*").alias("sets"))
-    many = sizes.where(F.col("sets") > frequent).select("key")
-    busy = (
-        members.join(many, "key")
-        .groupBy("node", F.col("key").bitwiseAND(63).cast("int").alias("band"))
-        .agg(F.count("*").alias("n"))
-        .groupBy("node")
-        .agg(F.collect_list(F.struct("band", "n")).alias("busy"))
-    )
-    thin = classes.where("thin").select(F.col("node"), F.lit(True).alias("thin"))
-    risky = (
-        sets.join(busy, "node", "left")
-        .join(thin, "node", "left")
-        .where("busy is not null or thin")
-        .select("node", "tokens", "busy")
+        _probed(shared, need).join(classes.select("a", "node"), "a").select("key", "node").distinct(), "members"
     )
-    deleted = stored(_deletions(risky, part), "deletions")
+    thin = sets.join(classes.where("thin").select("node").distinct(), "node", "left_semi")
+    deleted = stored(_deletions(thin, part), "deletions")
     counted = deleted.groupBy("key").agg(F.count("*").alias("sets"))
     crowded = counted.where(F.col("sets") > frequent).select("key", F.lit(True).alias("crowded"))
     judged = deleted.join(crowded, "key", "left").withColumn(
@@ -437,8 +405,7 @@ def jaccard_components(
         .select("node", "band")
     )
     buckets = stored(
-        members.join(sizes.where(F.col("sets") <= frequent).select("key"), "key")
-        .select(F.lit(0).alias("tier"), "key", "node")
+        members.select(F.lit(0).alias("tier"), "key", "node")
         .union(judged.where("not costly").select(F.lit(1), "key", "node"))
         .union(judged.where("costly").join(lost, ["node", "band"]).select(F.lit(2), "key", "node"))
         .distinct(),
@@ -453,7 +420,7 @@ def jaccard_components(
     linked = F.expr(f"100 * common >= {percent} * (nx + ny - common)")
     links = checked.where(linked).select(F.col("x").alias("a"), F.col("y").alias("b"))
     found = stored(components(links), "components")
-    rest = _likely(unresolved_pairs(led, checked, found, percent), classes, busy)
+    rest = unresolved_pairs(led, checked, found, percent).select("x", "y").distinct()
     more = stored(_verified(rest, sets), "rest").where(linked).select(F.col("x").alias("a"), F.col("y").alias("b"))
     if more.head(1):
         found = stored(components(links.union(more)), "components")
