@@ -14,7 +14,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from scriptorium.session import scratch_path
 
 #: Words that one generation of a cache holds; a cache holds two generations.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 500_000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ from scriptorium.llm.common import (
 from scriptorium.llm.tokens import token_arrays
 
 CHUNK_IDS = 1 << 16
-LEVEL = 3
+LEVEL = 1
 
 CHUNK_SCHEMA = (
     "shard int, chunk long, first long, n_ids long, width int, kind string, "
