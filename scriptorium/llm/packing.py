@@ -5,7 +5,7 @@ order of a lexical key (the least hash among a document's tokens) and then of th
 documents with common words meet, while a key that many documents have is still spread
 over shards.  Each shard holds a BM25 inverted index of its documents; document frequencies
 and the mean length are those of the whole table.  The first unused document seeds a window,
-the index returns its unused neighbours by score, and they fill the window; a document that
+the index returns its unused neighbours by score over all words of the seed, and they fill the window; a document that
 does not fit is cut and its rest seeds the next window.  The last, partial window of a shard
 is cut into lengths that are powers of two, so no sequence needs padding.
 """
@@ -23,8 +23,6 @@ from scriptorium.llm.tokens import token_arrays
 WINDOW = 4096
 #: Tokens of a shard, about; what a task holds is a small multiple of it (or one document).
 SHARD_TOKENS = 2_000_000
-#: A seed asks with its most telling words, this many.
-QUERY_TERMS = 32
 K1, B = 1.2, 0.75
 
 PIECES = (
@@ -104,13 +102,14 @@ def pack_documents(
     text_col: str = "text",
     window: int = WINDOW,
     shard_tokens: int = SHARD_TOKENS,
-    query_terms: int = QUERY_TERMS,
+    query_terms: int | None = None,
 ) -> DataFrame:
     """Pieces of documents and their places in sequences of at most ``window`` tokens.
 
     Returns ``doc_id``, ``start`` (the document's ids before the piece), ``length``, ``ids``
     (binary uint32), ``doc_tokens``, ``sequence_id``, ``offset`` and ``sequence_length``
     (``window`` or a smaller power of two).  Every id is in one piece; offsets have no gaps.
+    A seed asks with all its words, or the ``query_terms`` most telling.
     A null text counts as empty (the end id alone), a null id is kept, equal rows are packed
     each, an empty table gives no piece.  The driver gets the frequencies of the vocabulary.
     """
@@ -164,16 +163,23 @@ class ShardIndex:
         terms, owner = terms[order], owner[order]
         begin = np.flatnonzero(np.r_[True, (terms[1:] != terms[:-1]) | (owner[1:] != owner[:-1])])
         tf = np.diff(np.r_[begin, len(terms)])
-        self.terms, self.docs = terms[begin].astype(np.int64), owner[begin]
+        self.docs = owner[begin]
         norm = K1 * (1 - B + B * sizes[self.docs] / mean)
-        self.weights = (idf[self.terms] * tf * (K1 + 1) / (tf + norm)).astype(np.float32)
-        self.begin = np.searchsorted(self.terms, np.arange(len(idf) + 1))
+        self.weights = idf[terms[begin]] * tf * (K1 + 1) / (tf + norm)
+        self.begin = np.searchsorted(terms[begin].astype(np.int64), np.arange(len(idf) + 1))
         self.idf, self.n_docs = idf, len(arrays)
 
-    def neighbours(self, ids: np.ndarray, terms: int) -> np.ndarray:
-        """Documents by falling score for the most telling terms of ``ids``, ties by place."""
+    def forget(self, used: np.ndarray) -> None:
+        """Drop the postings of ``used`` documents."""
+        keep = ~used[self.docs]
+        self.begin = np.r_[0, np.cumsum(keep)][self.begin]
+        self.docs, self.weights = self.docs[keep], self.weights[keep]
+
+    def neighbours(self, ids: np.ndarray, terms: int | None = None) -> np.ndarray:
+        """Documents by falling score for all ``ids``, or the most telling of them, ties by place."""
         asked = _distinct(ids)
-        asked = asked[np.argsort(-self.idf[asked], kind="stable")[:terms]]
+        if terms is not None:
+            asked = asked[np.argsort(-self.idf[asked], kind="stable")[:terms]]
         lists = [slice(self.begin[t], self.begin[t + 1]) for t in asked]
         docs = np.concatenate([self.docs[s] for s in lists])
         score = np.bincount(docs, np.concatenate([self.weights[s] for s in lists]), self.n_docs)
@@ -182,7 +188,7 @@ class ShardIndex:
 
 
 def pack_shard(
-    arrays: list[np.ndarray], idf: np.ndarray, mean: float, window: int, terms: int
+    arrays: list[np.ndarray], idf: np.ndarray, mean: float, window: int, terms: int | None = None
 ) -> list[tuple[int, int, int, int, int, int]]:
     """(document, start, length, sequence, offset, sequence length) of every piece of a shard."""
     index = ShardIndex(arrays, idf, mean)
@@ -196,6 +202,7 @@ def pack_shard(
             done[d] += window
             sequence += 1
         used[d] = done[d] == len(ids)
+    live = len(arrays)  # documents of the index
     filled, held = 0, []  # of the window in work
     rest, seed = None, 0
     while True:
@@ -205,6 +212,9 @@ def pack_shard(
             break
         start = seed if rest is None else rest
         rest = None
+        if 2 * (left := len(arrays) - np.count_nonzero(used)) < live:  # these would be skipped
+            index.forget(used)
+            live = left
         found = index.neighbours(arrays[start], terms)
         for d in (start, *found[~used[found]].tolist()):
             if used[d]:
