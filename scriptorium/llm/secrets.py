@@ -4,7 +4,7 @@ Three patterns find the plain shapes.  The lexer finds what a pattern cannot: it
 assignments of source code and configuration (``name = "..."``, ``"name": "..."``,
 ``name: value``, ``export NAME=value``, ``name: type = "..."``, ``<name>value</name>``) as pairs
 of a name and an expression of literals and other names, follows the other names to the
-literals that they stand for, and scores the literals by how sensitive the target's name is
+literals that they stand for (by the last assignment before the use), and scores the literals by how sensitive the target's name is
 and by how random they look.  Literals that reach a sensitive name add spans of kind ``flow``.
 """
 
@@ -13,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from typing import NamedTuple
 
@@ -180,9 +181,17 @@ def flow_spans(text: str) -> list[Span]:
     pairs = assignments(text)
     if not any(name_score(name) > 0 for name, _ in pairs):
         return []
-    known: dict[str, list[tuple[str, int, int]]] = {}
-    for name, terms in pairs:
-        known.setdefault(name, terms)
+    known: dict[str, list[tuple[int, list[tuple[str, int, int]]]]] = {}
+    for name, terms in sorted(pairs, key=lambda pair: pair[1][-1][2]):
+        known.setdefault(name, []).append((terms[-1][2], terms))
+
+    def value(name: str, at: int) -> tuple[int, list[tuple[str, int, int]]] | None:
+        """The last assignment of a name that ends before its use ``at``, else the first after it."""
+        every = known[name]
+        i = bisect_right(every, at, key=lambda e: e[0])
+        if i:
+            return every[i - 1]
+        return next((e for e in every if e[1][0][1] > at), None)
 
     def literals(terms: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
         out, stack, seen = [], terms[::-1], set()
@@ -191,10 +200,12 @@ def flow_spans(text: str) -> list[Span]:
             name = text[start:end]
             if kind == "literal":
                 out.append((start, end))
-            elif name in known and name not in seen:
-                seen.add(name)
-                stack.extend(known[name][::-1])
-            elif name not in known and len(terms) == 1:
+            elif name in known:
+                set_to = value(name, start)
+                if set_to and (name, set_to[0]) not in seen:
+                    seen.add((name, set_to[0]))
+                    stack.extend(set_to[1][::-1])
+            elif len(terms) == 1:
                 out.append((start, end))  # a bare word of a configuration file
         return out
 
