@@ -11,6 +11,7 @@ import pytest
 import corpus_pipeline
 from scriptorium.llm import catalog, components, line_dedup, ngram_join
 from tests.llm import fixtures as fx
+from tests.llm.test_full_lines import full
 
 
 @pytest.mark.parametrize("seed", [1, 2])
@@ -67,7 +68,6 @@ def test_op10_edges(spark):
     assert ngram_join.jaccard_components(fx.nothing(spark)).count() == 0
 
 
-UNIT = re.compile(r"(?=(.{1,14}))\S{1,8}\s*")
 
 
 def plain_lines(docs, percent=80):
@@ -76,7 +76,7 @@ def plain_lines(docs, percent=80):
         for i, line in enumerate((text or "").split("\n")):
             if line.strip():
                 places.setdefault(line.lower().strip(" "), []).append((d, i))
-    union = fx.linked({k: frozenset(UNIT.findall(k)) for k in places}, percent)
+    union = fx.linked({k: full(k) for k in places}, percent)
     groups = {}
     for k, at in places.items():
         groups.setdefault(union.root(k), []).extend(at)
