@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from scriptorium.llm import (
     common,
+    fill_middle,
+    html_text,
     language,
     line_dedup,
     ngram_join,
@@ -21,6 +23,7 @@ from scriptorium.llm import (
     sentencepiece_bpe,
     syncmers,
     token_planes,
+    whitening,
 )
 from scriptorium.session import scratch_path
 
@@ -120,3 +123,51 @@ def op3(spark, sf):
 def op8(spark, sf):
     labels = spark.read.parquet(f"{sf}/labels.parquet")
     return quality_classifier.classify(common.documents(spark, sf), labels)
+
+
+@query(
+    "op11_fill_middle",
+    r"""
+    WITH hashed AS (
+        SELECT doc_id, coalesce(text, '') AS text, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h
+        FROM documents
+    ), numbered AS (
+        SELECT doc_id, text, regexp_extract_all(text, '[^\n]*\n|[^\n]+') AS units,
+            CAST('0x' || substr(h, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(h, 9, 8) AS BIGINT) AS h2,
+            CAST('0x' || substr(h, 17, 8) AS BIGINT) AS h3, CAST('0x' || substr(h, 25, 8) AS BIGINT) AS h4
+        FROM hashed
+    ), cut AS (
+        SELECT doc_id, text, units, len(units) AS n,
+            least(h1 % (len(units) + 1), h2 % (len(units) + 1)) AS a,
+            greatest(h1 % (len(units) + 1), h2 % (len(units) + 1)) AS b,
+            CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>')
+                    OR h3 % 100 >= 100 THEN 'plain'
+                WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form
+        FROM numbered
+    ), parts AS (
+        SELECT doc_id, text, n, form, coalesce(array_to_string(units[1:a], ''), '') AS p,
+            coalesce(array_to_string(units[a + 1:b], ''), '') AS m,
+            coalesce(array_to_string(units[b + 1:n], ''), '') AS s
+        FROM cut
+    )
+    SELECT doc_id, n, form,
+        CASE WHEN form != 'plain' THEN length(p) END AS prefix_chars,
+        CASE WHEN form != 'plain' THEN length(m) END AS middle_chars,
+        sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+            ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+        sha256(text) AS restored_sha256
+    FROM parts
+    """,
+)
+def op11(spark, sf):
+    return fill_middle.digests(fill_middle.transform(common.documents(spark, sf)))
+
+
+@query("op12_html_text")
+def op12(spark, sf):
+    return html_text.extract(spark.read.parquet(f"{sf}/pages.parquet"))
+
+
+@query("op13_whitening")
+def op13(spark, sf):
+    return whitening.whiten(spark.read.parquet(f"{sf}/embeddings.parquet"))
