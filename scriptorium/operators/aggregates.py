@@ -13,6 +13,7 @@ from pyspark.sql import Window
 from scriptorium.functions import calendar, text, vectors
 from scriptorium.operators import reshape
 from scriptorium.operators.joins import author_subfields, coauthor_pairs, prior_solo
+from scriptorium.session import materialize
 
 # ---- fixed values --------------------------------------------------------------------
 MIN_COPUBLICATIONS = 2
@@ -353,10 +354,14 @@ def id_verdict(events: DataFrame) -> DataFrame:
 
 # ---- profiles and vectors ------------------------------------------------------------
 def tfidf(dims: DataFrame, key: str = "researcher_id") -> DataFrame:
-    """Term weight times smoothed inverse document frequency ``ln(N / (df + 1) + 1)``."""
-    tf = dims.groupBy(key, "dim").agg(F.sum("score").alias("tf"))
-    df = tf.groupBy("dim").agg(F.count(F.lit(1)).alias("df")).join(names_of(dims, ["dim"], "label"), "dim")
-    n = dims.agg(F.countDistinct(key).alias("n")).scalar()
+    """Term weight times smoothed inverse document frequency ``ln(N / (df + 1) + 1)``.
+
+    ``dims`` is computed once, into a table that frequencies, labels and the number of keys read.
+    """
+    stored = materialize(dims.select(key, "dim", "label", "score"), "dims")
+    tf = stored.groupBy(key, "dim").agg(F.sum("score").alias("tf"))
+    df = names_of(stored, ["dim"], "label").join(tf.groupBy("dim").agg(F.count(F.lit(1)).alias("df")), "dim")
+    n = stored.agg(F.countDistinct(key).alias("n")).scalar()
     idf = F.log(n / (F.col("df") + 1) + 1)
     return tf.join(df, "dim").select(key, "dim", "label", (F.col("tf") * idf).alias("weight"))
 

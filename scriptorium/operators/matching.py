@@ -14,10 +14,10 @@ from pyspark.sql import Window
 from scriptorium.functions import text, vectors
 from scriptorium.operators import aggregates, neighbours, reshape, windows
 from scriptorium.operators.dedup import unique_ci
+from scriptorium.operators.matches import MATCH_SCORES, SEARCH_LIMIT, best_matches, top_overall
 from scriptorium.session import materialize
 
 # ---- fixed values --------------------------------------------------------------------
-SEARCH_LIMIT = 20
 EDIT_THRESHOLD = 0.75
 NGRAM_THRESHOLD = 0.5
 NGRAM_SIZES = (2, 3)
@@ -38,116 +38,6 @@ def tfidf_profiles(dims: DataFrame, key: str = "researcher_id") -> DataFrame:
     return aggregates.l2_normalize(aggregates.tfidf(dims, key), key)
 
 
-MATCH_SCORES = ("tfidf_sim", "embedding_sim", "similarity", "complementarity")
-#: Researchers of a block; a task scores one block against another.
-MATCH_BLOCK = 1_024
-#: Scores are compared at this precision so that equal ones tie exactly.
-SCORE_DIGITS = 9
-
-
-def best_matches(
-    profiles: DataFrame,
-    embeddings: DataFrame,
-    k: int = SEARCH_LIMIT,
-    by: str = "complementarity",
-    keywords: bool = False,
-    weights: dict[str, float] | None = None,
-    key: str = "researcher_id",
-    block: int = MATCH_BLOCK,
-) -> DataFrame:
-    """The ``k`` best partners of every researcher among all others, with their scores.
-
-    Exact over all pairs: no minimum, since the most complementary researchers are not the
-    most similar ones.  ``embeddings``: key, unit ``vector``; a missing one scores 0.
-    Similarity is the weighted mean of the TF-IDF and embedding cosines; complementarity
-    rewards shared context with distant topics.  Researchers are dealt into blocks, a task
-    scores one block against another and returns k rows a researcher, so pairs are never
-    rows.  Ties go to the smaller id.
-    """
-    if by not in MATCH_SCORES:
-        raise ValueError(f"matches are ranked by one of {MATCH_SCORES}")
-    names = list(neighbours.LEVELS if keywords else neighbours.LEVELS[:-1])
-    level_weights = vectors.COMPLEMENTARITY_WEIGHTS_KEYWORDS if keywords else vectors.COMPLEMENTARITY_WEIGHTS
-    mean = weights or vectors.ENSEMBLE_WEIGHTS
-    rows = materialize(
-        profiles.groupBy(key)
-        .agg(F.collect_list("dim").alias("dims"), F.collect_list("weight").alias("weights"))
-        .join(embeddings.select(key, "vector"), key, "left")
-        .withColumnRenamed(key, "id"),
-        "match-profiles",
-    )
-    id_type = dict(rows.dtypes)["id"]
-    blocks = max(1, -(-rows.count() // block))
-    mine = rows.withColumn("p", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = mine.withColumn("q", every)
-    # Columns of their own, or the two sides of the cogroup would be taken for one.
-    right = mine.select(
-        *[F.col(c).alias(c) for c in ("id", "dims", "weights", "vector")], F.col("p").alias("q"), every.alias("p")
-    )
-    fields = f"researcher_a {id_type}, researcher_b {id_type}, " + ", ".join(f"{n} double" for n in MATCH_SCORES)
-    digits = SCORE_DIGITS
-
-    def unit(rows: np.ndarray) -> np.ndarray:
-        size = np.sqrt((rows * rows).sum(axis=1, keepdims=True))
-        return np.divide(rows, size, out=np.zeros_like(rows), where=size > 0)
-
-    def best(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
-        if one.empty or two.empty:
-            return pd.DataFrame({c.split()[0]: [] for c in fields.split(", ")})
-        two = two.sort_values("id", kind="stable")
-        dims = {d: i for i, d in enumerate(sorted({d for side in (one, two) for ds in side["dims"] for d in ds}))}
-        level = np.array([d.split("::", 1)[0] for d in dims])
-
-        def dense(side: pd.DataFrame) -> np.ndarray:
-            out = np.zeros((len(side), len(dims)))
-            for row, (ds, ws) in enumerate(zip(side["dims"], side["weights"], strict=True)):
-                out[row, [dims[d] for d in ds]] = ws
-            return out
-
-        x, y = dense(one), dense(two)
-        of = {n: unit(x[:, level == n]) @ unit(y[:, level == n]).T for n in names}
-        embedding = np.zeros((len(one), len(two)))
-        has_x, has_y = one["vector"].notna().to_numpy(), two["vector"].notna().to_numpy()
-        if has_x.any() and has_y.any():
-            embedding[np.ix_(has_x, has_y)] = (
-                np.stack(one["vector"][has_x].to_numpy()) @ np.stack(two["vector"][has_y].to_numpy()).T
-            )
-        tfidf = x @ y.T
-        context = sum(of[n] * w for n, w in level_weights.items())
-        scores = dict(
-            zip(
-                MATCH_SCORES,
-                (tfidf, embedding, tfidf * mean["tfidf"] + embedding * mean["embedding"], context * (1 - of["topic"])),
-                strict=True,
-            )
-        )
-        ids, others = one["id"].to_numpy(), two["id"].to_numpy()
-        rank = np.round(scores[by], digits)
-        rank[ids[:, None] == others[None, :]] = -np.inf
-        order = np.argsort(-rank, axis=1, kind="stable")[:, :k]
-        at = np.repeat(np.arange(len(ids)), order.shape[1]), order.ravel()
-        keep = rank[at] > -np.inf
-        at = at[0][keep], at[1][keep]
-        return pd.DataFrame(
-            {"researcher_a": ids[at[0]], "researcher_b": others[at[1]]} | {n: s[at] for n, s in scores.items()}
-        )
-
-    found = left.groupBy("p", "q").cogroup(right.groupBy("p", "q")).applyInPandas(best, fields)
-    ranked = found.withColumn("_rank", F.round(by, digits))
-    return windows.top_per_group(
-        ranked, ["researcher_a"], [F.desc("_rank"), F.asc("researcher_b")], k
-    ).drop("_rank")
-
-
-def top_overall(matches: DataFrame, n: int = SEARCH_LIMIT, by: str = "complementarity") -> DataFrame:
-    """The ``n`` best pairs (a < b) of a match table that holds n or more partners a researcher."""
-    once = matches.where("researcher_a < researcher_b")
-    return windows.top_matches(
-        once.withColumn("_rank", F.round(by, SCORE_DIGITS)), "_rank", n, ["researcher_a", "researcher_b"]
-    ).drop("_rank")
-
-
 #: Explanation column -> (level, whose weights rank it, which labels qualify).
 _EXPLANATIONS = {
     "shared_domains": ("domain", "b", "shared"),
