@@ -32,6 +32,37 @@ def test_knn_is_exact(spark, pivots, block, chunk):
     assert {(r.author_id, r.neighbour) for r in found} == expected
 
 
+def routed_rows(spark, monkeypatch, n: int) -> tuple[int, int]:
+    """Rows of targets and of queries that are shuffled for ``n`` clustered vectors."""
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(n // 50, 8)) * 4
+    vectors = np.repeat(centres, 50, axis=0) + rng.normal(size=(n, 8)) * 0.1
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "author_id bigint, vector array<double>")
+    seen = []
+    inner = neighbours.routed
+
+    def counting(*args):
+        queries, targets = inner(*args)
+        seen.append((targets.count(), queries.count()))
+        return queries, targets
+
+    monkeypatch.setattr(neighbours, "routed", counting)
+    found = neighbours.knn(df, 4, block=64, chunk=128).collect()
+    monkeypatch.undo()
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    sims = np.round(unit @ unit.T, 12)
+    np.fill_diagonal(sims, -np.inf)
+    assert {(r.author_id, r.neighbour) for r in found} == {(i, int(j)) for i in range(n) for j in np.argsort(-sims[i], kind="stable")[:4]}
+    return seen[0]
+
+
+def test_knn_routes_what_is_reached(spark, monkeypatch):
+    """A copy of every target to every chunk of 128 queries would be n * n / 128 rows."""
+    for n in (600, 2400):
+        targets, queries = routed_rows(spark, monkeypatch, n)
+        assert targets < n * n / 128 / 4 and queries < n * 16
+
+
 @pytest.mark.parametrize("minimum", [0.2, 0.6])
 def test_similarity_join_is_exact(spark, minimum):
     rng = random.Random(1)
