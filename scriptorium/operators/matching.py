@@ -13,21 +13,16 @@ from pyspark.sql import Window
 
 from scriptorium.functions import text, vectors
 from scriptorium.operators import aggregates, neighbours, reshape, windows
-from scriptorium.operators.dedup import unique_ci
+from scriptorium.operators.grouping import group_by_leader, group_ngram, group_scores, group_similar
 from scriptorium.operators.matches import MATCH_SCORES, SEARCH_LIMIT, best_matches, top_overall
 from scriptorium.session import materialize
 
 # ---- fixed values --------------------------------------------------------------------
-EDIT_THRESHOLD = 0.75
-NGRAM_THRESHOLD = 0.5
-NGRAM_SIZES = (2, 3)
 REFERENCE_THRESHOLD = 0.2
 REFERENCE_MIN_CHARS = 10
 REFERENCE_GRAM = 3
 # -------------------------------------------------------------------------------------
 
-#: Unplaced strings examined per clustering round; bounds what leaves the executors.
-LEADER_BATCH = 256
 #: Dimension of the default hashing embedder.
 HASHING_DIM = 64
 
@@ -246,169 +241,6 @@ def search_knn(
     return scored.orderBy("distance", key).limit(n)
 
 
-# ---- string grouping -----------------------------------------------------------------
-def _edit_distances(one: str, codes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Levenshtein distance of one string to many (rows of code points, zero padded)."""
-    width = int(lengths.max(initial=0))
-    previous = np.tile(np.arange(width + 1, dtype=np.int32), (len(codes), 1))
-    for row, char in enumerate(one, start=1):
-        current = np.empty_like(previous)
-        current[:, 0] = row
-        substituted = previous[:, :-1] + (codes[:, :width] != ord(char))
-        best = np.minimum(substituted, previous[:, 1:] + 1)
-        for column in range(1, width + 1):
-            current[:, column] = np.minimum(best[:, column - 1], current[:, column - 1] + 1)
-        previous = current
-    return previous[np.arange(len(codes)), lengths]
-
-
-def edit_similarities(one: str, others: Sequence[str]) -> np.ndarray:
-    """``1 - distance / longest`` of one string to many."""
-    lengths = np.array([len(o) for o in others], dtype=np.int64)
-    codes = np.zeros((len(others), int(lengths.max(initial=0)) or 1), dtype=np.int32)
-    for row, other in enumerate(others):
-        codes[row, : len(other)] = [ord(c) for c in other]
-    longest = np.maximum(lengths, len(one))
-    distance = _edit_distances(one, codes, lengths)
-    return np.where(longest == 0, 1.0, 1.0 - distance / np.maximum(longest, 1))
-
-
-def ngram_similarities(
-    one: str,
-    others: Sequence[str],
-    sizes: Sequence[int] = NGRAM_SIZES,
-    weights: Sequence[float] | None = None,
-) -> np.ndarray:
-    """Mean n-gram Jaccard index of one string to many."""
-
-    def grams(s: str, n: int) -> set[str]:
-        low = s.lower()
-        return {low[i : i + n] for i in range(len(low) - n + 1)}
-
-    share = [1 / len(sizes)] * len(sizes)
-    if weights is not None and len(weights) == len(sizes):
-        share = [w / (sum(weights) or 1.0) for w in weights]
-    mine = [grams(one, n) for n in sizes]
-    out = np.empty(len(others))
-    for row, other in enumerate(others):
-        if other == one:
-            out[row] = 1.0
-            continue
-        total = 0.0
-        for own, n, w in zip(mine, sizes, share):
-            theirs = grams(other, n)
-            union = len(own | theirs)
-            total += w * (len(own & theirs) / union if union else 1.0)
-        out[row] = total
-    return out
-
-
-def group_by_leader(
-    df: DataFrame,
-    similarities: Callable[[str, Sequence[str]], np.ndarray],
-    threshold: float,
-    column: str = "value",
-    position: str = "position",
-    normalize: bool = True,
-    keep_duplicates: bool = False,
-    batch: int = LEADER_BATCH,
-) -> DataFrame:
-    """Cluster strings by the first earlier leader that is similar enough.
-
-    In order of ``position`` a string joins the first group whose leader reaches the
-    threshold, or founds a group.  Returned with ``leader`` (the leader's position) and
-    ``score`` (similarity to the leader).
-
-    Exact and distributed: equal normal forms are one candidate however many copies
-    exist.  Each round takes the first ``batch`` unplaced candidates, which are the only
-    possible next leaders, finds the leaders among them, and lets all remaining
-    candidates look for their first match among these leaders in parallel.  Leaders
-    found in earlier rounds precede those of later rounds, so the first match found is
-    the first match there is.  No pair is ever emitted.
-    """
-    spark = df.sparkSession
-    items = df if keep_duplicates else unique_ci(df, column, position)
-    norm = text.normalize_string(F.col(column)) if normalize else F.col(column)
-    items = materialize(items.withColumn("_norm", norm), "strings")
-    waiting = materialize(items.groupBy("_norm").agg(F.min(position).alias("_first")), "candidates")
-    position_type = dict(waiting.dtypes)["_first"]
-    placed: list[DataFrame] = []
-    while True:
-        head = waiting.orderBy("_first").limit(batch).collect()
-        if not head:
-            break
-        leaders: list[tuple] = []
-        pending = [(row["_norm"], row["_first"]) for row in head]
-        while pending:
-            first, *others = pending
-            leaders.append(first)
-            found = similarities(first[0], [o[0] for o in others]) if others else np.array([])
-            pending = [o for o, score in zip(others, found) if score < threshold]
-
-        def settle(batches: Iterator[pd.DataFrame], leaders=tuple(leaders)) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                names = pdf["_norm"].tolist()
-                leader = np.full(len(names), None, dtype=object)
-                score = np.full(len(names), np.nan)
-                free = np.arange(len(names))
-                for name, where in leaders:
-                    if not len(free):
-                        break
-                    values = similarities(name, [names[i] for i in free])
-                    hit = values >= threshold
-                    leader[free[hit]] = where
-                    score[free[hit]] = values[hit]
-                    free = free[~hit]
-                yield pd.DataFrame(
-                    {"_norm": names, "_first": pdf["_first"], "leader": leader, "score": score}
-                )
-
-        settled = materialize(
-            waiting.mapInPandas(
-                settle,
-                f"_norm string, _first {position_type}, leader {position_type}, score double",
-            ),
-            "settled",
-        )
-        placed.append(settled.where(F.col("leader").isNotNull()).select("_norm", "leader", "score"))
-        waiting = settled.where(F.col("leader").isNull()).select("_norm", "_first")
-    if not placed:
-        return spark.createDataFrame(
-            [], T.StructType([*df.schema.fields, T.StructField("leader", df.schema[position].dataType), T.StructField("score", T.DoubleType())])
-        )
-    groups = placed[0]
-    for part in placed[1:]:
-        groups = groups.unionByName(part)
-    return items.join(groups, "_norm").select(*df.columns, "leader", "score")
-
-
-def group_similar(df: DataFrame, threshold: float = EDIT_THRESHOLD, **options) -> DataFrame:
-    """Leader clustering by edit similarity."""
-    return group_by_leader(df, edit_similarities, threshold, **options)
-
-
-def group_ngram(
-    df: DataFrame,
-    threshold: float = NGRAM_THRESHOLD,
-    sizes: Sequence[int] = NGRAM_SIZES,
-    weights: Sequence[float] | None = None,
-    **options,
-) -> DataFrame:
-    """Leader clustering by n-gram similarity."""
-
-    def similarities(one: str, others: Sequence[str]) -> np.ndarray:
-        return ngram_similarities(one, others, sizes, weights)
-
-    return group_by_leader(df, similarities, threshold, **options)
-
-
-def group_scores(grouped: DataFrame) -> DataFrame:
-    """Size and mean similarity to the leader of each group."""
-    return grouped.groupBy("leader").agg(
-        F.count(F.lit(1)).alias("n_items"), F.avg("score").alias("score")
-    )
-
-
 # ---- reference matching --------------------------------------------------------------
 def match_references(
     works: DataFrame,

@@ -116,32 +116,6 @@ def test_scope_of_any_length(spark):
     assert reshape.filter_scope(works, []).count() == 0
 
 
-@pytest.mark.parametrize("batch", [3, 256])
-def test_leader_clustering_is_exact(spark, batch):
-    rng = random.Random(5)
-    base = ["plasma", "plasmas", "fusion reactor", "fusion reactors", "tokamak", "Tokamák", "zebra", "zebras!"]
-    values = [rng.choice(base) + rng.choice(["", "x", "yy"]) for _ in range(60)]
-    df = spark.createDataFrame(list(enumerate(values)), "position bigint, value string")
-    found = {r.position: r.leader for r in matching.group_similar(df, batch=batch).collect()}
-
-    seen, items = set(), []
-    for i, value in enumerate(values):
-        if value.lower() not in seen:
-            seen.add(value.lower())
-            items.append((i, value))
-    norms = {r.position: r.n for r in df.select("position", text.normalize_string(F.col("value")).alias("n")).collect()}
-    leaders, expected = [], {}
-    for i, _ in items:
-        for leader in leaders:
-            if matching.edit_similarities(norms[leader], [norms[i]])[0] >= 0.75:
-                expected[i] = leader
-                break
-        else:
-            leaders.append(i)
-            expected[i] = i
-    assert found == expected
-
-
 def test_reference_matching_is_exact(spark):
     titles = [(1, "Magnetic confinement of fusion plasmas"), (2, "A short"), (3, "Muscle metabolism and nutrition")]
     lines = [
