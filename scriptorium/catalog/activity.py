@@ -113,16 +113,18 @@ def a11(spark, sf):
     return log_plans.respondents_per_project(_cleaned(spark, sf))
 
 
-@query(
-    "w6_rolling_kpis",
-    f"""WITH {sql.LOGS}, days AS (
-      SELECT unnest(generate_series(CAST(min(ts) AS DATE) + INTERVAL 10 DAY, CAST(max(ts) AS DATE), INTERVAL 1 DAY)) AS t FROM logs),
+def rolling_sql(until: str) -> str:
+    """Points over 30 days at the midnights from the first day + 30 to ``until``."""
+    return f"""WITH {sql.ORDER_LOGS}, days AS (
+      SELECT unnest(generate_series(CAST(min(ts) AS DATE) + INTERVAL 30 DAY, CAST({until} AS DATE), INTERVAL 1 DAY)) AS t FROM logs),
     p AS (SELECT CAST(CAST(t AS DATE) AS VARCHAR) AS date, {_COUNTERS}, {_PEOPLE}
-          FROM days JOIN logs ON ts > t - INTERVAL 10 DAY AND ts <= t GROUP BY 1)
-    SELECT *, users_logged + users_surveyed AS users_total FROM p""",
-)
+          FROM days JOIN logs ON ts > t - INTERVAL 30 DAY AND ts <= t GROUP BY 1)
+    SELECT *, users_logged + users_surveyed AS users_total FROM p"""
+
+
+@query("w6_rolling_kpis", rolling_sql("max(ts)"))
 def w6(spark, sf):
-    return windows.rolling_kpis(_cleaned(spark, sf), days=10).withColumn(
+    return windows.rolling_kpis(reshape.clean_logs(adapters.order_logs(spark, sf))).withColumn(
         "date", F.col("date").cast("string")
     )
 
@@ -268,10 +270,12 @@ def j21(spark, sf):
 _TODAY = "2000-09-30"
 _PACKAGE_SQL = f"""packages AS (
   SELECT concat('@scope/pkg-', c_custkey) AS name, c_mktsegment AS version, DATE '2000-08-01' + CAST(c_custkey % 400 AS INT) AS date FROM customer),
-downloads AS (SELECT concat('@scope/pkg-', o_custkey) AS name, CAST(o_orderdate AS DATE) AS day, CAST(floor(o_totalprice / 1000) AS BIGINT) AS downloads FROM orders),
-start AS (SELECT DATE '{_TODAY}' - 89 AS d),
-rows AS (SELECT p.name, p.version, p.date, coalesce(sum(x.downloads), 0) AS total
-         FROM packages p LEFT JOIN (SELECT * FROM downloads, start WHERE day >= d) x ON x.name = p.name GROUP BY 1, 2, 3)"""
+periods AS (SELECT unnest(['day', 'week', 'month', 'quarter']) AS period, DATE '{_TODAY}' + 1 - unnest([1, 7, 30, 90]) AS d),
+downloads AS (SELECT concat('@scope/pkg-', o_custkey) AS name, CAST(o_orderdate AS DATE) AS day, CAST(sum(CAST(floor(o_totalprice / 1000) AS BIGINT)) AS BIGINT) AS downloads
+  FROM orders GROUP BY 1, 2),
+rows AS (SELECT period, d, p.name, p.version, p.date, CAST(coalesce(sum(x.downloads), 0) AS BIGINT) AS total,
+    coalesce(string_agg(concat(x.day, '=', x.downloads), ' ' ORDER BY x.day) FILTER (x.day IS NOT NULL), '') AS points
+  FROM packages p CROSS JOIN periods LEFT JOIN downloads x ON x.name = p.name AND x.day >= d GROUP BY ALL)"""
 
 
 def _stats(spark, sf):
@@ -279,7 +283,6 @@ def _stats(spark, sf):
         adapters.releases(spark, sf),
         adapters.packages(spark, sf),
         adapters.downloads(spark, sf),
-        "quarter",
         F.lit(_TODAY).cast("date"),
     )
 
@@ -287,9 +290,8 @@ def _stats(spark, sf):
 @query(
     "a18_package_kpi",
     f"""WITH {_PACKAGE_SQL}
-    SELECT 'quarter' AS period, count(*) AS packages_total, count(*) FILTER (date >= (SELECT d FROM start)) AS packages_active,
-           CAST(sum(total) AS BIGINT) AS downloads_total,
-           (SELECT count(*) FROM orders, start WHERE CAST(o_orderdate AS DATE) >= d) AS releases FROM rows""",
+    SELECT period, count(*) AS packages_total, count(*) FILTER (date >= d) AS packages_active, CAST(sum(total) AS BIGINT) AS downloads_total,
+           (SELECT count(*) FROM orders WHERE CAST(o_orderdate AS DATE) >= d) AS releases FROM rows GROUP BY period, d""",
 )
 def a18_kpi(spark, sf):
     return _stats(spark, sf)[0]
@@ -297,12 +299,16 @@ def a18_kpi(spark, sf):
 
 @query(
     "a18_package_rows",
-    f"""WITH {_PACKAGE_SQL} SELECT name, version, CAST(date AS VARCHAR) AS last_published_at,
-    CAST(total AS BIGINT) AS total_downloads FROM rows""",
+    f"""WITH {_PACKAGE_SQL} SELECT period, name, version, CAST(date AS VARCHAR) AS last_published_at,
+    total AS total_downloads, points FROM rows""",
 )
 def a18_rows(spark, sf):
     rows = _stats(spark, sf)[1]
-    return rows.withColumn("last_published_at", F.col("last_published_at").cast("string"))
+    points = F.transform("daily_downloads", lambda p: F.concat_ws("=", p["day"].cast("string"), p["downloads"].cast("string")))
+    return rows.select(
+        "period", "name", "version", F.col("last_published_at").cast("string").alias("last_published_at"),
+        "total_downloads", F.array_join(points, " ").alias("points"),
+    )
 
 
 @query(

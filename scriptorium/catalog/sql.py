@@ -41,13 +41,15 @@ AFFILIATIONS = """affiliations AS (
   WHERE l_partkey IN (SELECT p_partkey FROM part) AND l_orderkey IN (SELECT o_orderkey FROM orders))"""
 
 # ---- activity ------------------------------------------------------------------------
-LOGS = f"""logs0 AS (
-  SELECT CAST(user_id % 7 AS INT) AS project_id,
-         CAST(date_trunc('milliseconds', ts) AS TIMESTAMP) AS ts, event_id AS position,
-         CASE user_id % 5 WHEN 0 THEN md5(CAST(user_id AS VARCHAR))
-              WHEN 1 THEN '[survey respondent]' ELSE concat('user_', user_id) END AS username,
-         {K} AS k, user_id
-  FROM events),
+def _logs(source: str, user: str, k: str, ts: str, position: str) -> str:
+    """Log entries made from the rows of a table."""
+    return f"""logs0 AS (
+  SELECT CAST({user} % 7 AS INT) AS project_id,
+         CAST(date_trunc('milliseconds', {ts}) AS TIMESTAMP) AS ts, {position} AS position,
+         CASE {user} % 5 WHEN 0 THEN md5(CAST({user} AS VARCHAR))
+              WHEN 1 THEN '[survey respondent]' ELSE concat('user_', {user}) END AS username,
+         {k} AS k, {user} AS user_id
+  FROM {source}),
 logs1 AS (
   SELECT *, CASE k % 10
       WHEN 0 THEN 'Login depuis la page' WHEN 1 THEN 'API export record'
@@ -66,6 +68,13 @@ logs AS (
       WHEN 7 THEN CAST(k AS VARCHAR) ELSE concat('user:', username) END AS respondent
   FROM logs1)"""
 
+
+LOGS = _logs("events", "user_id", K, "ts", "event_id")
+ORDER_LOGS = _logs(
+    "orders", "o_custkey", "CAST(o_orderkey % 97 AS INT)",
+    "CAST(o_orderdate AS TIMESTAMP) + to_hours(CAST(o_orderkey % 4 * 6 AS INT))", "o_orderkey",
+)
+
 REVIEW = f"""review AS (
   SELECT concat('A', {K} % 20) AS "from", concat('O', user_id % 50) AS id,
          CASE WHEN {K} % 5 <= 1 THEN 'author' WHEN {K} % 5 = 2 THEN 'work' ELSE 'institution' END AS entity,

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from scriptorium.catalog import sql
+from scriptorium.catalog.activity import rolling_sql
 from scriptorium.catalog.base import query
-from scriptorium.operators import reshape
+from scriptorium.operators import reshape, windows
 from scriptorium.plans import adapters
 from scriptorium.session import scratch_path
 from scriptorium.streaming import jobs
@@ -46,26 +47,16 @@ def r2(spark, sf):
     )
 
 
-@query(
-    "r3_rolling_windows",
-    f"""WITH {sql.LOGS}, d AS (SELECT unnest(generate_series((SELECT CAST(min(ts) AS DATE) FROM logs), (SELECT max(ts) FROM logs), INTERVAL 1 DAY)) AS t)
-    SELECT CAST(CAST(t AS DATE) AS VARCHAR) AS date, count(*) AS actions_total, count(*) FILTER (user_type = 'enquêté') AS actions_surveyed_user,
-      count(*) FILTER (action_category = 'Fichiers') AS actions_files
-    FROM d JOIN logs ON ts > t - INTERVAL 5 DAY AND ts <= t
-    WHERE t <= (SELECT max(ts) - INTERVAL 1 HOUR FROM logs) GROUP BY 1""",
-)
+@query("r3_rolling_windows", rolling_sql("max(ts) - INTERVAL 1 HOUR"))
 def r3(spark, sf):
-    logs = adapters.raw_logs(spark, sf)
+    logs = adapters.order_logs(spark, sf)
     path = scratch_path(spark, "logs")
-    logs = logs.withColumn("timestamp", F.col("timestamp").cast("timestamp"))
-    logs.write.parquet(path)
+    logs.repartitionByRange(4, "timestamp").write.parquet(path)
     stream = reshape.clean_logs(jobs.file_stream(spark, path, logs.schema))
-    return _drain(spark, jobs.rolling_counters(stream, 5, "1 hour")).select(
-        F.to_date("date").cast("string").alias("date"),
-        "actions_total",
-        "actions_surveyed_user",
-        "actions_files",
-    )
+    points = _drain(spark, jobs.rolling_counters(stream, "1 hour"))
+    first = spark.read.parquet(path).agg(F.to_date(F.min("timestamp")).alias("first")).scalar()
+    whole = points.where(F.col("date") >= F.date_add(first, windows.ROLLING_DAYS))
+    return whole.withColumn("date", F.col("date").cast("string"))
 
 
 @query(

@@ -426,34 +426,62 @@ def regression_metrics(
 
 # ---- packages and commits ------------------------------------------------------------
 def package_stats(
-    releases: DataFrame, packages: DataFrame, downloads: DataFrame, period: str, today: Column
+    releases: DataFrame,
+    packages: DataFrame,
+    downloads: DataFrame,
+    today: Column,
+    periods: Sequence[str] = tuple(PERIOD_DAYS),
 ) -> tuple[DataFrame, DataFrame]:
-    """(one-row KPIs, per-package rows) over the trailing day, week, month or quarter.
+    """(KPIs, a row per period; per-package rows of each period) over trailing days ending today.
 
     ``releases``: tag_name, published_at.  ``packages``: name, version, date.
-    ``downloads``: name, day, downloads.
+    ``downloads``: name, day, downloads.  A package's row has ``daily_downloads``, its points by day,
+    at most one a day of the period.  Downloads are read once: the points of the longest period
+    are summed by day, and each period keeps its part of them.
     """
-    start = F.date_sub(today, PERIOD_DAYS[period] - 1)
-    recent = (
-        downloads.where(F.col("day") >= start)
+    starts = F.array(
+        *[F.struct(F.lit(p).alias("period"), F.date_sub(today, PERIOD_DAYS[p] - 1).alias("start")) for p in periods]
+    )
+    first = F.date_sub(today, max(PERIOD_DAYS[p] for p in periods) - 1)
+    points = (
+        downloads.where(F.col("day") >= first)
+        .groupBy("name", "day")
+        .agg(F.sum("downloads").alias("downloads"))
         .groupBy("name")
-        .agg(F.sum("downloads").alias("total_downloads"))
-    )
-    rows = packages.join(recent, "name", "left").select(
-        "name",
-        "version",
-        F.col("date").alias("last_published_at"),
-        F.coalesce("total_downloads", F.lit(0)).cast("bigint").alias("total_downloads"),
+        .agg(F.sort_array(F.collect_list(F.struct("day", "downloads"))).alias("points"))
+    )
+    kept = F.filter("points", lambda p: p["day"] >= F.col("start"))
+    rows = (
+        packages.join(points, "name", "left")
+        .select("*", F.inline(starts))
+        .withColumn("daily_downloads", F.coalesce(kept, F.expr("array()")))
+        .select(
+            "period",
+            "name",
+            "version",
+            F.col("date").alias("last_published_at"),
+            "daily_downloads",
+            F.aggregate("daily_downloads", F.lit(0).cast("bigint"), lambda sum_, p: sum_ + p["downloads"]).alias("total_downloads"),
+            (F.col("date") >= F.col("start")).alias("active"),
+        )
     )
-    kpi = rows.agg(
+    kpi = rows.groupBy("period").agg(
         F.count(F.lit(1)).alias("packages_total"),
-        F.count_if(F.col("last_published_at") >= start).alias("packages_active"),
-        F.coalesce(F.sum("total_downloads"), F.lit(0)).cast("bigint").alias("downloads_total"),
-    )
-    published = releases.agg(F.count_if(F.col("published_at") >= start).alias("releases")).scalar()
+        F.count_if("active").alias("packages_active"),
+        F.sum("total_downloads").alias("downloads_total"),
+    )
+    spans = releases.sparkSession.range(1).select(F.inline(starts))
+    published = (
+        releases.where(F.col("published_at") >= first)
+        .select("published_at", F.inline(starts))
+        .where(F.col("published_at") >= F.col("start"))
+        .groupBy("period")
+        .agg(F.count(F.lit(1)).alias("releases"))
+    )
+    nothing = [F.coalesce(c, F.lit(0)).alias(c) for c in ("packages_total", "packages_active", "downloads_total", "releases")]
     return (
-        kpi.withColumn("period", F.lit(period)).withColumn("releases", published),
-        rows.orderBy(F.desc("total_downloads"), "name"),
+        spans.join(kpi, "period", "left").join(published, "period", "left").select("period", *nothing),
+        rows.drop("active").orderBy("period", F.desc("total_downloads"), "name"),
     )
 
 

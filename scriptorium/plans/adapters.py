@@ -154,7 +154,30 @@ def nested_works(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- activity ------------------------------------------------------------------------
 def raw_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    user, k = F.col("user_id").cast("string"), _k()
+    """Entries of a month, in the shape of an activity log."""
+    return _log_entries(
+        table(spark, sf_dir, "events").select(
+            "user_id", _k().alias("k"), F.col("ts").alias("timestamp"), F.col("event_id").alias("position")
+        )
+    )
+
+
+def order_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries of several years, a quarter of them at midnight."""
+    hours = F.make_dt_interval(hours=(F.col("o_orderkey") % 4 * 6).cast("int"))
+    return _log_entries(
+        table(spark, sf_dir, "orders").select(
+            F.col("o_custkey").alias("user_id"),
+            (F.col("o_orderkey") % 97).cast("int").alias("k"),
+            (F.col("o_orderdate").cast("timestamp") + hours).alias("timestamp"),
+            F.col("o_orderkey").alias("position"),
+        )
+    )
+
+
+def _log_entries(rows: DataFrame) -> DataFrame:
+    """Users, projects and actions made from ``user_id`` and ``k``."""
+    user, k = F.col("user_id").cast("string"), F.col("k")
     actions = [
         "Login depuis la page",
         "API export record",
@@ -183,12 +206,12 @@ def raw_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("user_id") % 5 == 1, F.lit("[Survey Respondent] "))
         .otherwise(F.concat(F.lit(" User_"), user))
     )
-    return table(spark, sf_dir, "events").select(
+    return rows.select(
         (F.col("user_id") % 7).cast("int").alias("project_id"),
-        F.col("ts").alias("timestamp"),
+        "timestamp",
         username.alias("username"),
         action.alias("action"),
-        F.col("event_id").alias("position"),
+        "position",
     )
 
 
