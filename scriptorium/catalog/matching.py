@@ -161,26 +161,16 @@ def j17_missing(spark, sf):
     return joins.missing_dois(adapters.works(spark, sf), f22(spark, sf))
 
 
-@query(
-    "d9_union_matches",
-    f"""WITH {sql.WORKS}, b AS (
-      SELECT work_id, doi, 'doi' AS source FROM works WHERE work_id % 7 = 0
-      UNION ALL SELECT work_id, doi, 'fuzzy' FROM works WHERE work_id % 3 = 0)
-    SELECT work_id, doi, source FROM b QUALIFY row_number() OVER (PARTITION BY lower(doi) ORDER BY source, work_id) = 1""",
-)
-def d9(spark, sf):
-    works = adapters.works(spark, sf).select("work_id", "doi")
-    return dedup.union_matches(works.where("work_id % 7 = 0"), works.where("work_id % 3 = 0"))
-
-
 _SEGMENTS_SQL = """lines AS (
-  SELECT doc_id, trim(unnest(string_split(text, chr(10))), ' ') AS line FROM documents),
-segments AS (
-  SELECT doc_id, line AS segment FROM lines WHERE length(line) > 20 AND length(line) <= 500
+  SELECT doc_id, lang, trim(unnest(string_split(text, chr(10))), ' ') AS line, unnest(generate_series(1, len(string_split(text, chr(10))))) AS line_no
+  FROM documents),
+windows AS (
+  SELECT doc_id, lang, line AS segment, line_no, 0 AS i FROM lines WHERE length(line) > 20 AND length(line) <= 500
   UNION ALL
-  SELECT doc_id, substr(line, CAST(least(i * 80, length(line) - 200) AS INT) + 1, 200)
-  FROM (SELECT doc_id, line, unnest(generate_series(0, CAST(ceil((length(line) - 200) / 80.0) AS BIGINT))) AS i
-        FROM lines WHERE length(line) > 500))"""
+  SELECT doc_id, lang, substr(line, CAST(least(i * 80, length(line) - 200) AS INT) + 1, 200), line_no, i
+  FROM (SELECT doc_id, lang, line, line_no, unnest(generate_series(0, CAST(ceil((length(line) - 200) / 80.0) AS BIGINT))) AS i
+        FROM lines WHERE length(line) > 500)),
+segments AS (SELECT doc_id, lang, segment, row_number() OVER (PARTITION BY doc_id ORDER BY line_no, i) - 1 AS place FROM windows)"""
 
 
 @query("f33_segments", f"WITH {_SEGMENTS_SQL} SELECT doc_id, segment FROM segments")
@@ -193,25 +183,61 @@ def f33(spark, sf):
 _J16_KEY = "trim(regexp_replace(lower(strip_accents({x})), '[^a-z0-9]+', ' ', 'g'))"
 
 
+_ABSENT = "(len(titles.g) - len(list_intersect(titles.g, grams.g))) / len(titles.g)"
+_TITLES_SQL = f"""t AS (SELECT item_id, {_J16_KEY.format(x='text')} AS k FROM benchmark),
+    titles AS (SELECT item_id, {_gram_list('k', 3)} AS g FROM t WHERE length(k) >= 10)"""
+
+
+def _placed_segments(spark, sf):
+    """Segments of documents with their owner and place."""
+    rows = adapters.table(spark, sf, "documents").select("lang", "doc_id", F.posexplode(text.segments(F.col("text"))))
+    return rows.select(
+        F.col("lang").alias("owner"), F.struct("doc_id", F.col("pos").alias("place")).alias("segment_id"), F.col("col").alias("segment")
+    )
+
+
 @query(
     "j16_match_references",
-    f"""WITH {_SEGMENTS_SQL},
-    t AS (SELECT item_id, {_J16_KEY.format(x='text')} AS k FROM benchmark),
-    titles AS (SELECT item_id, {_gram_list('k', 3)} AS g FROM t WHERE length(k) >= 10),
-    s AS (SELECT DISTINCT {_J16_KEY.format(x='segment')} AS k FROM segments),
-    grams AS (SELECT {_gram_list('k', 3)} AS g FROM s WHERE length(k) >= 3)
-    SELECT item_id AS work_id, round(min((len(titles.g) - len(list_intersect(titles.g, grams.g))) / len(titles.g)) + 1e-9, 5) AS score
-    FROM titles JOIN grams ON (len(titles.g) - len(list_intersect(titles.g, grams.g))) / len(titles.g) <= 0.2 GROUP BY 1""",
+    f"""WITH {_SEGMENTS_SQL}, {_TITLES_SQL},
+    s AS (SELECT lang, {_J16_KEY.format(x='segment')} AS k, doc_id, place FROM segments WHERE lang IS NOT NULL),
+    grams AS (SELECT lang, {_gram_list('k', 3)} AS g, doc_id, place FROM s WHERE length(k) >= 3
+      QUALIFY row_number() OVER (PARTITION BY lang, k ORDER BY doc_id, place) = 1)
+    SELECT lang AS owner, item_id AS work_id, doc_id, place, round({_ABSENT} + 1e-9, 5) AS score
+    FROM titles JOIN grams ON {_ABSENT} <= 0.2
+    QUALIFY row_number() OVER (PARTITION BY lang, item_id ORDER BY {_ABSENT}, doc_id, place) = 1""",
 )
 def j16(spark, sf):
+    items = adapters.table(spark, sf, "benchmark").select(F.col("item_id").alias("work_id"), F.col("text").alias("title"))
+    segments = _placed_segments(spark, sf)
+    # Every owner looks for the same titles in texts of their own.
+    owners = adapters.table(spark, sf, "documents").agg(F.collect_set("lang").alias("owners"))
+    works = items.withColumn("owner", F.explode(owners.scalar()))
+    found = matching.match_references(works, segments, owner=["owner"])
+    return found.select("owner", "work_id", "segment_id.doc_id", "segment_id.place", steady("score", 5).alias("score"))
+
+
+@query(
+    "d9_union_matches",
+    f"""WITH {_DOIS_SQL}, {_SEGMENTS_SQL}, {_TITLES_SQL},
+    s AS (SELECT DISTINCT {_J16_KEY.format(x='segment')} AS k FROM segments),
+    grams AS (SELECT {_gram_list('k', 3)} AS g FROM s WHERE length(k) >= 3),
+    w AS (SELECT item_id AS work_id, concat('10.1234/ABC', item_id % 50) AS doi FROM benchmark),
+    b AS (SELECT work_id, doi, 'doi' AS source FROM w WHERE lower(doi) IN (SELECT doi FROM dois)
+      UNION ALL SELECT work_id, doi, 'fuzzy' FROM w
+        WHERE work_id IN (SELECT item_id FROM titles JOIN grams ON {_ABSENT} <= 0.2))
+    SELECT work_id, doi, source FROM b QUALIFY row_number() OVER (PARTITION BY lower(doi) ORDER BY source, work_id) = 1""",
+)
+def d9(spark, sf):
+    # Works share a DOI in places, so that a DOI is matched both ways.
     works = adapters.table(spark, sf, "benchmark").select(
-        F.col("item_id").alias("work_id"), F.col("text").alias("title")
-    )
-    segments = f33(spark, sf).select("segment").distinct().withColumn(
-        "segment_id", F.xxhash64("segment")
+        F.col("item_id").alias("work_id"),
+        F.col("text").alias("title"),
+        F.concat(F.lit("10.1234/ABC"), (F.col("item_id") % 50).cast("string")).alias("doi"),
     )
-    found = matching.match_references(works, segments)
-    return found.withColumn("score", steady("score", 5))
+    by_doi = joins.match_dois(works.drop("title"), f22(spark, sf))
+    titles = matching.match_references(works, _placed_segments(spark, sf).drop("owner"))
+    by_title = works.drop("title").join(titles.select("work_id"), "work_id", "left_semi")
+    return dedup.union_matches(by_doi, by_title)
 
 
 @query(

@@ -23,6 +23,9 @@ REFERENCE_MIN_CHARS = 10
 REFERENCE_GRAM = 3
 # -------------------------------------------------------------------------------------
 
+#: Segments of a trigram from which on they are dealt into parts, and how many such lists there are
+#: at most: beyond that the length grows.
+HOT_POSTINGS, HOT_LISTS = 50_000, 10_000
 #: Dimension of the default hashing embedder.
 HASHING_DIM = 64
 
@@ -248,17 +251,18 @@ def match_references(
     limit: float = REFERENCE_THRESHOLD,
     owner: Sequence[str] = (),
 ) -> DataFrame:
-    """Best text segment of each title: (owner, work_id, score), lower is better.
-
-    ``works``: owner, work_id, title.  ``segments``: owner, segment_id, segment.  The
-    score is the share of the title's distinct character trigrams, of its matching key,
-    absent from the segment; 0 means all present.  Titles shorter than 10 characters
-    match nothing.
-
-    Exact blocking: a title of n trigrams within the limit misses at most
-    ``m = floor(limit * n)`` of them, so of any ``m + c`` trigrams at least c are in the
-    segment.  Only the rarest ``m + c`` look for segments, with c a quarter of n, and
-    only segments they hit c times are compared whole.
+    """Best text segment of each title: (owner, work_id, segment_id, score), in score order.
+
+    ``works``: owner, work_id, title.  ``segments``: owner, segment_id, segment; ids are in text
+    order, so of equally good segments the first counts.  The score is the share of the title's
+    distinct character trigrams, of its matching key, absent from the segment; 0 means all present.
+    Titles shorter than 10 characters match nothing.
+
+    Exact blocking: a title of n trigrams within the limit misses at most ``m = floor(limit * n)``
+    of them, so of any ``m + c`` trigrams at least c are in the segment.  Only the ``m + c`` that are
+    rarest in the segments look for them, with c a quarter of n, and only segments they hit c times
+    are compared whole.  Equal segments of an owner are one.  The segments of a frequent trigram are
+    dealt into parts, which its titles all visit, so no task holds more than a part.
     """
     owner = list(owner)
     gram = REFERENCE_GRAM
@@ -267,38 +271,59 @@ def match_references(
         .where(F.length("_key") >= REFERENCE_MIN_CHARS)
         .select(*owner, "work_id", text.ngrams(F.col("_key"), gram).alias("_grams"))
     )
-    lines = segments.select(
-        *owner, "segment_id", text.ngrams(text.match_key(F.col("segment")), gram).alias("_line")
+    lines = materialize(
+        segments.select(*owner, "segment_id", text.match_key(F.col("segment")).alias("_key"))
+        .groupBy(*owner, "_key")
+        .agg(F.min("segment_id").alias("segment_id"))
+        .select(*owner, "segment_id", text.ngrams(F.col("_key"), gram).alias("_line")),
+        "reference-lines",
     )
-    postings = lines.select(*owner, "segment_id", F.explode("_line").alias("gram"))
     title_grams = titles.select(
         *owner, "work_id", F.size("_grams").alias("_n"), F.explode("_grams").alias("gram")
     )
-    # How often a trigram occurs in titles stands in for its frequency in segments: the
-    # choice of prefix affects cost only, and the far larger segments are not counted.
-    frequency = title_grams.groupBy(*owner, "gram").agg(F.count(F.lit(1)).alias("_df"))
+    asked = title_grams.select(*owner, "gram").distinct()
+    postings = lines.select(*owner, "segment_id", F.explode("_line").alias("gram")).join(
+        asked, [*owner, "gram"], "left_semi"
+    )
+    sizes = materialize(postings.groupBy(*owner, "gram").agg(F.count(F.lit(1)).alias("_df")), "reference-sizes")
+    total = sizes.agg(F.sum("_df").alias("n")).first()["n"] or 0
+    # At most HOT_LISTS lists are that long, so the table of them is small at any size.
+    hot_size = max(HOT_POSTINGS, total // HOT_LISTS)
+    hot = sizes.where(F.col("_df") > hot_size).withColumn("_parts", F.ceil(F.col("_df") / hot_size).cast("int"))
+    hot = F.broadcast(hot.select(*owner, "gram", "_parts"))
+    parts = F.coalesce("_parts", F.lit(1))
+
     missing = F.floor(F.lit(limit) * F.col("_n") + 1e-9)
     hits = F.greatest(F.least(F.ceil(F.col("_n") / 4), F.col("_n") - missing), F.lit(1))
-    rarest = Window.partitionBy(*owner, "work_id").orderBy("_df", "gram")
+    rarest = Window.partitionBy(*owner, "work_id").orderBy(F.coalesce("_df", F.lit(0)), "gram")
     rare = (
-        title_grams.join(frequency, [*owner, "gram"])
+        title_grams.join(sizes, [*owner, "gram"], "left")
         .withColumn("_rank", F.row_number().over(rarest))
-        .where(F.col("_rank") <= missing + hits)
+        .where((F.col("_rank") <= missing + hits) & F.col("_df").isNotNull())
         .select(*owner, "work_id", "gram", hits.alias("_hits"))
+        .join(hot, [*owner, "gram"], "left")
+        .withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1)))
+        .drop("_parts")
+    )
+    dealt = (
+        postings.join(hot, [*owner, "gram"], "left")
+        .withColumn("_part", F.pmod(F.xxhash64("segment_id"), parts).cast("int"))
+        .drop("_parts")
     )
     candidates = (
-        rare.join(postings, [*owner, "gram"])
+        rare.join(dealt, [*owner, "gram", "_part"])
         .groupBy(*owner, "work_id", "segment_id", "_hits")
         .agg(F.count(F.lit(1)).alias("_found"))
         .where(F.col("_found") >= F.col("_hits"))
         .select(*owner, "work_id", "segment_id")
     )
     absent = F.size(F.array_except("_grams", "_line")) / F.size("_grams")
-    return (
+    best = (
         candidates.join(titles, [*owner, "work_id"])
         .join(lines, [*owner, "segment_id"])
         .withColumn("score", absent)
         .where(F.col("score") <= limit)
         .groupBy(*owner, "work_id")
-        .agg(F.min("score").alias("score"))
+        .agg(F.min(F.struct("score", "segment_id")).alias("b"))
     )
+    return best.select(*owner, "work_id", "b.segment_id", "b.score").orderBy(*owner, "score", "work_id")
