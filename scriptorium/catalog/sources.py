@@ -325,16 +325,38 @@ def s23(spark, sf):
 
 @query(
     "s24_verify_manifest",
-    """SELECT 'row_count' AS kind, CAST(count(*) AS VARCHAR) AS detail FROM orders""",
+    """SELECT 'r2' AS run, 'unknown_version' AS kind, '9' AS detail
+       UNION ALL SELECT 'r2', 'row_count', CAST(count(*) + 1 AS VARCHAR) FROM orders
+       UNION ALL SELECT 'r2', 'missing_part', 'gone.parquet' UNION ALL SELECT 'r2', 'hash_mismatch', 'a part'
+       UNION ALL SELECT 'r3', 'no_parts', ''""",
 )
 def s24(spark, sf):
+    """A whole run, one with a fault of every kind that goes with parts, and one without parts."""
     root = _manifested(spark, sf)
-    # A part the manifest does not know makes the row count wrong; declared parts stay whole.
-    path = sinks.run_path(root, "1998-01", "r1")
-    adapters.table(spark, sf, "orders").select("o_orderkey", "o_totalprice").where(
-        "o_orderkey = 0"
-    ).write.mode("append").parquet(path)
-    return sinks.verify_manifest(spark, root, "1998-01", "r1")
+    orders = adapters.table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
+    for run in ("r2", "r3"):
+        sinks.write_run(orders.repartition(3, "o_orderkey"), root, "1998-01", run, ["o_orderkey"])
+        manifest = sinks.build_manifest(spark, root, "1998-01", run, "2024-01-01T00:00:00Z")
+        if run == "r2":
+            faulty = F.transform(
+                "parts",
+                lambda p, i: F.struct(
+                    F.when(i == 0, F.lit("dt=1998-01/run=r2/gone.parquet")).otherwise(p["key"]).alias("key"),
+                    F.when(i == 1, F.lit("00")).otherwise(p["sha256"]).alias("sha256"),
+                    p["bytes"].alias("bytes"),
+                ),
+            )
+            changes = {"schema_version": F.lit(9), "row_count": F.col("row_count") + 1, "parts": faulty}
+        else:
+            changes = {"parts": F.filter("parts", lambda p: F.lit(False))}
+        sinks.write_manifest(manifest.withColumns(changes), root, "1998-01", run)
+    found = [
+        sinks.verify_manifest(spark, root, "1998-01", run).select(F.lit(run).alias("run"), "kind", "detail")
+        for run in ("r1", "r2", "r3")
+    ]
+    # Part files have random names.
+    named = F.when(F.col("kind") == "hash_mismatch", F.lit("a part")).otherwise(F.col("detail"))
+    return found[0].unionByName(found[1]).unionByName(found[2]).withColumn("detail", named)
 
 
 @query(

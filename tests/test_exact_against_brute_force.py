@@ -115,6 +115,37 @@ def test_scope_of_any_length(spark):
     assert reshape.filter_scope(works, []).count() == 0
 
 
+@pytest.mark.parametrize("hot", [50_000, 2])
+def test_reference_matches_per_owner_in_order(spark, monkeypatch, hot):
+    """Each owner's titles meet their own segments only; a trigram of many is dealt into parts."""
+    monkeypatch.setattr(matching, "HOT_POSTINGS", hot)
+    monkeypatch.setattr(matching, "HOT_LISTS", 10**9)
+    draw = random.Random(7)
+    vocabulary = ["plasma", "fusion", "of the", "muscle", "retreat", "theory", "the end"]
+    titles = [(o, w, " ".join(draw.choices(vocabulary, k=4))) for o in "ab" for w in range(12)]
+    lines = []
+    for o in "abc":
+        for place in range(40):
+            line = list(draw.choice([t for p, _, t in titles if p != "b" or o == "b"]))
+            for _ in range(draw.randrange(4)):
+                line[draw.randrange(len(line))] = "x"
+            lines.append((o, place, "see " + "".join(line) + " there"))
+    works = spark.createDataFrame(titles, "owner string, work_id int, title string")
+    segments = spark.createDataFrame(lines, "owner string, segment_id int, segment string")
+    found = [tuple(r) for r in matching.match_references(works, segments, owner=["owner"]).collect()]
+
+    def grams(s):
+        return {s[i : i + 3] for i in range(len(s) - 2)}
+
+    expected = []
+    for o, w, title in titles:
+        mine = grams(title)
+        scores = sorted((len(mine - grams(line)) / len(mine), place) for p, place, line in lines if p == o)
+        if scores[0][0] <= 0.2:
+            expected.append((o, w, scores[0][1], scores[0][0]))
+    assert found == sorted(expected, key=lambda r: (r[0], r[3], r[1])) and len(found) > 10
+
+
 def test_reference_matching_is_exact(spark):
     titles = [(1, "Magnetic confinement of fusion plasmas"), (2, "A short"), (3, "Muscle metabolism and nutrition")]
     lines = [

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 import datetime as dt
 
 import pytest
@@ -69,6 +71,15 @@ def test_months_to_collect(spark):
     assert len(months(None, "202402")) == 36
 
 
+def test_writers_at_once_lose_no_advance(spark):
+    """Every advance of eight threads has a version of its own, and the last one counts."""
+    root = scratch_path(spark, "t")
+    with ThreadPoolExecutor(8) as pool:
+        versions = list(pool.map(lambda i: (selection.advance_watermark(spark, root, "works", str(i)), str(i)), range(40)))
+    assert sorted(v for v, _ in versions) == list(range(40))
+    assert selection.read_watermark(spark, root, "works") == max(versions)[1]
+
+
 def test_watermarks_are_independent(spark):
     root = scratch_path(spark, "t")
     assert selection.read_watermark(spark, root, "works") is None
