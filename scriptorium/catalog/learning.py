@@ -172,7 +172,7 @@ def t9(spark, sf):
     rows = learn.build_pair_dataset(
         _labels(spark, sf), learn.author_vectors(profiles, axis), None, len(axis)
     )
-    return learn.evaluate_grouped(rows, k=2, iterations=3)
+    return learn.evaluate_grouped(rows, iterations=3)
 
 
 @query(
@@ -191,7 +191,6 @@ def t10_recommendations(spark, sf):
         materialize(_profiles(spark, sf), "profiles"),
         adapters.vectors(spark, sf).select("author_id", "vector"),
         embedding_dim=64,
-        neighbours_per_author=10,
         iterations=3,
     )
     return result.partners.withColumn("uplift", F.round("uplift", 4)).withColumn(

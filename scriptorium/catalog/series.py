@@ -177,7 +177,7 @@ def t4_embargo(spark, sf):
 def t4(spark, sf):
     """Metrics per fold; boosted trees have no SQL."""
     rows = forecasting.training_rows(
-        adapters.daily_series(spark, sf), "key", "day", "n", "day", (1, 7, 30, 92)
+        adapters.daily_series(spark, sf), "key", "day", "n", "day", DAYS_AHEAD
     )
     return learn.backtest(rows, series.model_columns("day"), "day", iterations=10)
 
@@ -245,7 +245,6 @@ def t7(spark, sf):
         "month",
         "n",
         "month",
-        folds=2,
         iterations=3,
     )
     return result.windows.select(
