@@ -86,8 +86,20 @@ def drop_stored(df: DataFrame | None) -> None:
 
 
 def worker_cache(name: str) -> dict:
-    """A dict that lives as long as the Python worker, so that the next task finds it filled."""
-    return sys.__dict__.setdefault("_scriptorium_caches", {}).setdefault(name, {})
+    """A dict that lives until the Python worker serves another operator, so that the next task of
+    the same one finds it filled."""
+    return _caches().setdefault(name, {})
+
+
+def _caches() -> dict:
+    return sys.__dict__.setdefault("_scriptorium_caches", {})
+
+
+def end_caches(but: str | None = None) -> None:
+    """Drop what other operators left in this worker; a task calls it as it begins."""
+    caches = _caches()
+    for name in [n for n in caches if n != but]:
+        del caches[name]
 
 
 class WordCache:
@@ -97,6 +109,7 @@ class WordCache:
     """
 
     def __init__(self, name: str, compute: Callable[[list[str]], list], limit: int = CACHE_WORDS):
+        end_caches(but=name)
         self.state = worker_cache(name)
         self.state.setdefault("new", {})
         self.state.setdefault("old", {})

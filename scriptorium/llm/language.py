@@ -14,7 +14,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import blocks, over_batches
+from scriptorium.llm.common import blocks, end_caches, over_batches
 
 UNKNOWN = "und"
 #: The sample a dictionary is fitted on: at most this many excerpts of a language, of this length.
@@ -94,14 +94,17 @@ def identify(
     """
     kept = [id_col] if keep is None else keep
     fields = {f"k{i}": df.schema[c] for i, c in enumerate(kept)}
-    rows = df.select(
-        *[df[f.name].alias(k) for k, f in fields.items()], df[text_col].cast("string").alias("text")
-    )
+    columns = {k: df[f.name] for k, f in fields.items()}
+    # A kept text goes to Python once.
+    text = f"k{kept.index(text_col)}" if text_col in kept and df.schema[text_col].dataType.typeName() == "string" else "text"
+    columns.setdefault(text, df[text_col].cast("string"))
+    rows = df.select(*[c.alias(k) for k, c in columns.items()])
     names = sorted(dictionaries)
 
     def begin():
         import zstandard
 
+        end_caches()
         packers = []
         for name in names:
             content = zstandard.ZstdCompressionDict(
@@ -118,9 +121,9 @@ def identify(
             content.precompute_compress(compression_params=how)
             packers.append(zstandard.ZstdCompressor(compression_params=how, dict_data=content).compress)
 
-        def judged(text: str | None) -> tuple[str, float, bool]:
-            data = letters(text) if packers and text else b""
-            if not data or not any(map(str.isalpha, text)):
+        def judged(content: str | None) -> tuple[str, float, bool]:
+            data = letters(content) if packers and content else b""
+            if not data or not any(map(str.isalpha, content)):
                 return UNKNOWN, 0.0, True
             if len(data) < SHORT_BYTES:
                 cut = [data, *(data[m.end() :] for m in re.finditer(b" ", data))]
@@ -139,8 +142,8 @@ def identify(
             return names[best], score, score < min_margin and len(data) >= SHORT_BYTES
 
         def each(batch):
-            for block in blocks(batch, "text"):
-                found = [judged(t) for t in block.column("text").to_pylist()]
+            for block in blocks(batch, text):
+                found = [judged(t) for t in block.column(text).to_pylist()]
                 yield {k: block.column(k) for k in fields} | {
                     "lang_pred": [f[0] for f in found],
                     "score": [f[1] for f in found],
