@@ -259,9 +259,9 @@ def match_references(
     Titles shorter than 10 characters match nothing.
 
     Exact blocking: a title of n trigrams within the limit misses at most ``m = floor(limit * n)``
-    of them, so of any ``m + c`` trigrams at least c are in the segment.  Only the ``m + c`` that are
-    rarest in the segments look for them, with c a quarter of n, and only segments they hit c times
-    are compared whole.  Equal segments of an owner are one.  The segments of a frequent trigram are
+    of them, so of any ``m + c`` trigrams at least c are in the segment.  Only the rarest ``m + c``
+    look for segments, with c a quarter of n, and only segments they hit c times are compared whole.
+    Equal segments of an owner are one.  The segments of a trigram that is frequent among them are
     dealt into parts, which its titles all visit, so no task holds more than a part.
     """
     owner = list(owner)
@@ -274,34 +274,39 @@ def match_references(
     lines = materialize(
         segments.select(*owner, "segment_id", text.match_key(F.col("segment")).alias("_key"))
         .groupBy(*owner, "_key")
-        .agg(F.min("segment_id").alias("segment_id"))
-        .select(*owner, "segment_id", text.ngrams(F.col("_key"), gram).alias("_line")),
+        .agg(F.min("segment_id").alias("segment_id")),
         "reference-lines",
     )
     title_grams = titles.select(
         *owner, "work_id", F.size("_grams").alias("_n"), F.explode("_grams").alias("gram")
     )
-    asked = title_grams.select(*owner, "gram").distinct()
-    postings = lines.select(*owner, "segment_id", F.explode("_line").alias("gram")).join(
-        asked, [*owner, "gram"], "left_semi"
+    # How often a trigram occurs in titles stands in for its frequency in segments: the
+    # choice of prefix affects cost only, and all other trigrams of segments are never kept.
+    frequency = title_grams.groupBy(*owner, "gram").agg(F.count(F.lit(1)).alias("_df"))
+    missing = F.floor(F.lit(limit) * F.col("_n") + 1e-9)
+    hits = F.greatest(F.least(F.ceil(F.col("_n") / 4), F.col("_n") - missing), F.lit(1))
+    rarest = Window.partitionBy(*owner, "work_id").orderBy("_df", "gram")
+    chosen = materialize(
+        title_grams.join(frequency, [*owner, "gram"])
+        .withColumn("_rank", F.row_number().over(rarest))
+        .where(F.col("_rank") <= missing + hits)
+        .select(*owner, "work_id", "gram", hits.alias("_hits")),
+        "reference-titles",
+    )
+    postings = materialize(
+        lines.select(*owner, "segment_id", F.explode(text.ngrams(F.col("_key"), gram)).alias("gram")).join(
+            chosen.select(*owner, "gram").distinct(), [*owner, "gram"], "left_semi"
+        ),
+        "reference-postings",
     )
-    sizes = materialize(postings.groupBy(*owner, "gram").agg(F.count(F.lit(1)).alias("_df")), "reference-sizes")
-    total = sizes.agg(F.sum("_df").alias("n")).first()["n"] or 0
+    sizes = postings.groupBy(*owner, "gram").agg(F.count(F.lit(1)).alias("_df"))
     # At most HOT_LISTS lists are that long, so the table of them is small at any size.
-    hot_size = max(HOT_POSTINGS, total // HOT_LISTS)
+    hot_size = max(HOT_POSTINGS, postings.count() // HOT_LISTS)
     hot = sizes.where(F.col("_df") > hot_size).withColumn("_parts", F.ceil(F.col("_df") / hot_size).cast("int"))
     hot = F.broadcast(hot.select(*owner, "gram", "_parts"))
     parts = F.coalesce("_parts", F.lit(1))
-
-    missing = F.floor(F.lit(limit) * F.col("_n") + 1e-9)
-    hits = F.greatest(F.least(F.ceil(F.col("_n") / 4), F.col("_n") - missing), F.lit(1))
-    rarest = Window.partitionBy(*owner, "work_id").orderBy(F.coalesce("_df", F.lit(0)), "gram")
     rare = (
-        title_grams.join(sizes, [*owner, "gram"], "left")
-        .withColumn("_rank", F.row_number().over(rarest))
-        .where((F.col("_rank") <= missing + hits) & F.col("_df").isNotNull())
-        .select(*owner, "work_id", "gram", hits.alias("_hits"))
-        .join(hot, [*owner, "gram"], "left")
+        chosen.join(hot, [*owner, "gram"], "left")
         .withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1)))
         .drop("_parts")
     )
@@ -317,7 +322,7 @@ def match_references(
         .where(F.col("_found") >= F.col("_hits"))
         .select(*owner, "work_id", "segment_id")
     )
-    absent = F.size(F.array_except("_grams", "_line")) / F.size("_grams")
+    absent = F.size(F.array_except("_grams", text.ngrams(F.col("_key"), gram))) / F.size("_grams")
     best = (
         candidates.join(titles, [*owner, "work_id"])
         .join(lines, [*owner, "segment_id"])
