@@ -69,33 +69,25 @@ def j15(spark, sf):
     )
 
 
+def _seeded_sql(*keys: str) -> str:
+    return f"CAST('0x' || substr(md5(concat_ws(':', '42', {', '.join(keys)})), 1, 15) AS BIGINT)"
+
+
 @query(
     "o5_sample_labels",
-    f"""WITH {_LABELS_SQL} SELECT least(count(*), 1000) AS n, least(count(*), 1000) AS n_distinct, count(*) AS n_labels FROM labels""",
+    f"""WITH {_LABELS_SQL} SELECT author_a, author_b, uplift FROM labels
+    ORDER BY {_seeded_sql('author_a', 'author_b')}, author_a, author_b LIMIT 1000""",
 )
 def o5(spark, sf):
-    labels = _labels(spark, sf)
-    sample = windows.sample_labels(labels, ["author_a", "author_b"], 1000)
-    known = sample.join(labels, ["author_a", "author_b"], "left_semi")
-    return known.agg(
-        F.count(F.lit(1)).alias("n"), F.countDistinct("author_a", "author_b").alias("n_distinct")
-    ).withColumn("n_labels", labels.agg(F.count(F.lit(1))).scalar())
+    return windows.sample_labels(_labels(spark, sf), ["author_a", "author_b"], 1000).select("author_a", "author_b", "uplift")
 
 
 @query(
     "w9_group_folds",
-    f"""WITH {_LABELS_SQL} SELECT count(*) AS n, count(DISTINCT author_a) AS n_groups, 1 AS most_folds_of_a_group FROM labels""",
+    f"""WITH {_LABELS_SQL} SELECT author_a, author_b, CAST({_seeded_sql('author_a')} % 5 AS INT) AS fold FROM labels""",
 )
 def w9(spark, sf):
-    folded = windows.group_folds(_labels(spark, sf), "author_a", 5)
-    per_group = folded.groupBy("author_a").agg(
-        F.count(F.lit(1)).alias("n"), F.countDistinct("fold").alias("folds")
-    )
-    return per_group.agg(
-        F.sum("n").cast("bigint").alias("n"),
-        F.count(F.lit(1)).alias("n_groups"),
-        F.max("folds").cast("int").alias("most_folds_of_a_group"),
-    )
+    return windows.group_folds(_labels(spark, sf), "author_a", 5).select("author_a", "author_b", "fold")
 
 
 @query(

@@ -77,9 +77,9 @@ def is_finite(a: Column) -> Column:
 def _stack(series: pd.Series, dim: int) -> np.ndarray:
     """Rows of an array column as a matrix, missing vectors as zeros."""
     out = np.zeros((len(series), dim))
-    for row, value in enumerate(series):
-        if value is not None:
-            out[row] = value
+    held = series.notna().to_numpy()
+    if held.any():
+        out[held] = np.concatenate(series.to_numpy()[held]).reshape(-1, dim)
     return out
 
 

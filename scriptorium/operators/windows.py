@@ -227,8 +227,14 @@ def temporal_folds(df: DataFrame, origin: str, n: int = 4) -> DataFrame:
 
 
 def group_folds(df: DataFrame, group: str, k: int = 5) -> DataFrame:
-    """Adds ``fold``: all rows of a group share one, spread evenly by hash."""
-    return df.withColumn("fold", F.pmod(F.xxhash64(F.col(group), F.lit(SEED)), F.lit(k)).cast("int"))
+    """Adds ``fold``: all rows of a group share one, spread evenly by a seeded hash."""
+    return df.withColumn("fold", (_seeded([group], SEED) % k).cast("int"))
+
+
+def _seeded(keys: Sequence[str], seed: int) -> Column:
+    """A number from the keys and the seed that any engine with MD5 can repeat: its first 60 bits."""
+    digits = F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys])), 1, 15)
+    return F.conv(digits, 16, 10).cast("bigint")
 
 
 def stable_order(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -254,5 +260,5 @@ def sample_labels(df: DataFrame, keys: Sequence[str], cap: int, seed: int = SEED
     """
     if cap <= 0:
         return df
-    shuffled = df.withColumn("_h", F.xxhash64(*keys, F.lit(seed)))
+    shuffled = df.withColumn("_h", _seeded(keys, seed))
     return shuffled.orderBy("_h", *keys).limit(cap).drop("_h")
