@@ -156,15 +156,32 @@ def t5(spark, sf):
     )
 
 
-@query("t9_evaluate_grouped")
-def t9(spark, sf):
-    """Group folds with boosted trees; no SQL."""
+def _grouped(spark, sf, iterations):
     profiles = materialize(_profiles(spark, sf), "profiles")
     axis = learn.axis_of(profiles)
     rows = learn.build_pair_dataset(
         _labels(spark, sf), learn.author_vectors(profiles, axis), None, len(axis)
     )
-    return learn.evaluate_grouped(rows, iterations=3)
+    return learn.evaluate_grouped(rows, iterations=iterations)
+
+
+@query("t9_evaluate_grouped")
+def t9(spark, sf):
+    """Group folds with boosted trees; no SQL."""
+    return _grouped(spark, sf, 3)
+
+
+@query(
+    "t9_grouped_baselines",
+    f"""WITH {_LABELS_SQL}, {sql.TOPICS}, u AS (SELECT DISTINCT author_id FROM links l JOIN topics t ON t.work_id = l.work_id),
+    r AS (SELECT uplift AS y, CAST({_seeded_sql('author_a')} % 5 AS INT) AS fold FROM labels
+      WHERE author_a IN (SELECT author_id FROM u) AND author_b IN (SELECT author_id FROM u)),
+    m AS (SELECT f.fold, avg(y) FILTER (r.fold <> f.fold) AS mean FROM r CROSS JOIN (SELECT DISTINCT fold FROM r) f GROUP BY 1)
+    SELECT r.fold, round(avg(abs(y - mean)) + 1e-9, 6) AS baseline_mae, count(*) AS n_obs FROM r JOIN m ON m.fold = r.fold GROUP BY 1""",
+)
+def t9_baselines(spark, sf):
+    """What of the grouped evaluation does not hang on the trees: folds, baseline, rows."""
+    return _grouped(spark, sf, 1).select("fold", steady("baseline_mae", 6).alias("baseline_mae"), "n_obs")
 
 
 @query(
