@@ -10,7 +10,7 @@ from scriptorium.catalog.base import query, steady
 from scriptorium.functions import text, vectors
 from scriptorium.operators import aggregates, dedup, joins, matching, neighbours, reshape, windows
 from scriptorium.plans import adapters, citation
-from scriptorium.session import materialize
+from scriptorium.session import materialize, scratch_path
 
 # ---- strings -----------------------------------------------------------------------------
 @query(
@@ -632,9 +632,10 @@ def m3(spark, sf):
     ORDER BY round(score / (1 + ln(n)), 9) DESC, s.doc_id LIMIT 20""",
 )
 def m4(spark, sf):
-    index = matching.text_index(adapters.table(spark, sf, "documents"), "doc_id")
+    path = scratch_path(spark, "text-index")
+    matching.add_to_index(matching.text_index(adapters.table(spark, sf, "documents"), "doc_id"), path, "first", "doc_id")
     found = matching.search_index(
-        index, "doc_id", all_of=["the", "and"], any_of=["the", "hean"], none_of=["der"]
+        matching.stored_index(spark, path), "doc_id", all_of=["the", "and"], any_of=["the", "hean"], none_of=["der"]
     )
     return found.withColumn("rank", steady("rank", 6))
 

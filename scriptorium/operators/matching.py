@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
@@ -173,7 +173,7 @@ def researcher_vectors(
 def text_index(documents: DataFrame, key: str, column: str = "text") -> DataFrame:
     """Inverted index (term, key, tf, n_words): whole texts, one row per word and document.
 
-    Write it partitioned or bucketed by term to serve searches without reading texts.
+    :func:`add_to_index` stores it, so that searches read neither texts nor other terms.
     """
     tokens = F.filter(F.split(F.lower(column), r"[^\p{L}\p{N}]+"), lambda w: w != "")
     return (
@@ -184,6 +184,33 @@ def text_index(documents: DataFrame, key: str, column: str = "text") -> DataFram
     )
 
 
+#: Rows of a row group of a stored index, about: what a search for a rare term reads of a run.
+INDEX_ROWS = 100_000
+
+
+def add_to_index(index: DataFrame, path: str, run: str, key: str) -> None:
+    """Store the index rows of new documents as a run of the index at ``path``.
+
+    Rows lie in order of term, and key within a frequent term, in small row groups whose statistics
+    let a search skip all others.  A run written again replaces itself; other runs stay as they are.
+    """
+    (
+        index.repartitionByRange("term", key)
+        .sortWithinPartitions("term", key)
+        .withColumn("run", F.lit(run))
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .option("parquet.block.row.count.limit", str(INDEX_ROWS))
+        .partitionBy("run")
+        .parquet(path)
+    )
+
+
+def stored_index(spark: SparkSession, path: str) -> DataFrame:
+    """The index rows of all runs; the terms of a search are looked up in the files' statistics."""
+    return spark.read.parquet(path).drop("run")
+
+
 def search_index(
     index: DataFrame,
     key: str,

@@ -8,12 +8,14 @@ import random
 
 import numpy as np
 import pandas as pd
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scriptorium.functions import text
 from scriptorium.operators import learn, matching, neighbours, reshape, series, windows
+from scriptorium.session import scratch_path
 from scriptorium.streaming import jobs
 
 
@@ -115,6 +117,35 @@ def test_scope_of_any_length(spark):
     assert reshape.filter_scope(works, []).count() == 0
 
 
+def test_stored_index_reads_its_terms(spark, monkeypatch):
+    """Runs add up and replace themselves; a search reads the row groups of its terms."""
+    monkeypatch.setattr(matching, "INDEX_ROWS", 500)
+    path = scratch_path(spark, "t")
+    rows = [(i, " ".join(f"w{(i * k) % 997:03d}" for k in range(1, 30))) for i in range(400)]
+    for run, part in (("a", rows[:250]), ("b", rows[:9]), ("b", rows[250:])):
+        df = spark.createDataFrame(part, "doc_id long, text string")
+        matching.add_to_index(matching.text_index(df, "doc_id").coalesce(2), path, run, "doc_id")
+    stored = matching.stored_index(spark, path)
+    whole = matching.text_index(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id")
+    wanted = dict(all_of=["w012"], any_of=["w012", "w024"], none_of=["w036"], n=50)
+    found = matching.search_index(stored, "doc_id", **wanted)
+    assert {(r.doc_id, round(r["rank"], 9)) for r in found.collect()} == {
+        (r.doc_id, round(r["rank"], 9)) for r in matching.search_index(whole, "doc_id", **wanted).collect()
+    }
+    hits = stored.where(F.col("term").isin("w012"))
+    plan = hits._jdf.queryExecution().executedPlan()
+    hits.collect()
+    assert "PushedFilters: [In(term" in plan.toString() or "EqualTo(term" in plan.toString()
+    files = [f for f in stored.inputFiles()]
+    groups = [pq.ParquetFile(f.removeprefix("file:")).metadata for f in files]
+    total = sum(m.num_row_groups for m in groups)
+    holding = sum(
+        m.row_group(g).column(0).statistics.min <= "w012" <= m.row_group(g).column(0).statistics.max
+        for m in groups for g in range(m.num_row_groups)
+    )
+    assert total >= 20 and holding <= total / 4
+
+
 @pytest.mark.parametrize("hot", [50_000, 2])
 def test_reference_matches_per_owner_in_order(spark, monkeypatch, hot):
     """Each owner's titles meet their own segments only; a trigram of many is dealt into parts."""
