@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
-
 import datetime as dt
+import random
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
@@ -104,8 +104,28 @@ def test_batches(spark):
     files = spark.createDataFrame([("x", *r) for r in rows] + [("y", "a", 9)], "folder string, file string, num_rows int")
     found = {(r.folder, r.file): r.batch for r in selection.plan_batches(files, ["folder"], 10).collect()}
     assert found == {("x", f): b for f, b in zip("abcdefgh", (0, 0, 1, 2, 2, 2, 3, 4))} | {("y", "a"): 0}
-    with pytest.raises(ValueError, match="folder"):
-        selection.plan_batches(files, [])
+
+
+@pytest.mark.parametrize("group", [[], ["folder"]])
+def test_batches_are_those_of_a_walk(spark, group):
+    """The plan over ranges of files against a walk from file to file."""
+    draw = random.Random(3)
+    rows = [(f"d{draw.randrange(3)}", f"f{i:04d}", draw.choice([0, 0, 1, 3, 9, 11, 40, None])) for i in range(400)]
+    files = spark.createDataFrame(rows, "folder string, file string, num_rows int").repartition(5)
+    expected, held, number = {}, {}, {}
+    for folder, file, n in sorted(rows, key=lambda r: (r[0] if group else "", r[1])):
+        key, n = folder if group else "", n or 0
+        if held.get(key, 0) > 0 and held[key] + n > 10:
+            held[key], number[key] = 0, number[key] + 1
+        held[key] = held.get(key, 0) + n
+        expected[folder, file] = number.setdefault(key, 0)
+    assert {(r.folder, r.file): r.batch for r in selection.plan_batches(files, group, 10).collect()} == expected
+    sampled = sorted((r.folder, r.file) for r in selection.sample_files(files, 7, group).collect())
+    wanted = []
+    for key in sorted({r[0] for r in rows}) if group else [None]:
+        names = sorted((r[1], r[0]) for r in rows if key in (None, r[0]))
+        wanted += [(d, f) for f, d in names[:: max(len(names) // 7, 1)][:7]]
+    assert sampled == sorted(wanted)
 
 
 def test_dictionary_rejects_unknown_types(spark):
