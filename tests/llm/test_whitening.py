@@ -48,7 +48,7 @@ def compare(spark, vectors, tolerance=1e-8, components=32):
     assert {r.n for r in rows} == {len(vectors)} and len({r.identity_error for r in rows}) == 1
     white = np.array([[got[i, c].whitened for c in range(1, k + 1)] for i in range(len(vectors))])
     error = np.abs(np.cov(white.T, bias=True) - np.eye(k)).max()
-    assert rows[0].identity_error < 1e-9 and abs(rows[0].identity_error - error) < 1e-9
+    assert rows[0].identity_error < tolerance and abs(rows[0].identity_error - error) < 1e-9
 
 
 def test_op13_against_plain_version(spark):
