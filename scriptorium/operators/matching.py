@@ -191,12 +191,13 @@ INDEX_ROWS = 100_000
 def add_to_index(index: DataFrame, path: str, run: str, key: str) -> None:
     """Store the index rows of new documents as a run of the index at ``path``.
 
-    Rows lie in order of term, and key within a frequent term, in small row groups whose statistics
-    let a search skip all others.  A run written again replaces itself; other runs stay as they are.
+    Each file has its rows in order of term, and key within a term, in small row groups whose
+    statistics let a search skip all others: it reads a group or so of a file for a rare term.  The
+    files are those that counting the words made, so a term in every document is in all of them and
+    the index is shuffled once.  A run written again replaces itself; other runs stay as they are.
     """
     (
-        index.repartitionByRange("term", key)
-        .sortWithinPartitions("term", key)
+        index.sortWithinPartitions("term", key)
         .withColumn("run", F.lit(run))
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
