@@ -294,3 +294,21 @@ def test_retrain_stream_remembers_over_batches(spark, tmp_path):
                 expected.add(run)
                 mark, since = watermark, at
     assert found == expected and len(found) > 3
+
+
+def test_no_table_of_queries_by_blocks_is_stored_or_broadcast(spark, monkeypatch):
+    stored, rows = {}, 300
+    real = neighbours.materialize
+
+    def kept(df, label="table"):
+        stored.setdefault(label, []).append(real(df, label))
+        return stored[label][-1]
+
+    monkeypatch.setattr(neighbours, "materialize", kept)
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(rows, 8)))], "author_id long, vector array<double>")
+    assert neighbours.knn(df, 3, pivots=12, block=32, chunk=64).count() == 3 * rows
+    # Without clusters every vector reaches every cell; still each is one row, with its blocks in a list.
+    assert [t.count() for t in stored["reached"]] == [rows, rows]
+    asked, _ = neighbours.routed(stored["reached"][1], spark.createDataFrame([], "id long, v array<double>, cell int, sub int"), 64)
+    assert asked.count() > rows
