@@ -23,9 +23,11 @@ REFERENCE_MIN_CHARS = 10
 REFERENCE_GRAM = 3
 # -------------------------------------------------------------------------------------
 
-#: Segments of a trigram from which on they are dealt into parts, and how many such lists there are
-#: at most: beyond that the length grows.
+#: Segments of an owner that are looked through at once, and how many such parts there are at most:
+#: beyond that the parts grow.
 HOT_POSTINGS, HOT_LISTS = 50_000, 10_000
+#: Titles that look through a part at once.
+TITLE_BLOCK = 20_000
 #: Dimension of the default hashing embedder.
 HASHING_DIM = 64
 
@@ -286,77 +288,105 @@ def match_references(
     distinct character trigrams, of its matching key, absent from the segment; 0 means all present.
     Titles shorter than 10 characters match nothing.
 
-    Exact blocking: a title of n trigrams within the limit misses at most ``m = floor(limit * n)``
-    of them, so of any ``m + c`` trigrams at least c are in the segment.  Only the rarest ``m + c``
-    look for segments, with c a quarter of n, and only segments they hit c times are compared whole.
-    Equal segments of an owner are one.  The segments of a trigram that is frequent among them are
-    dealt into parts, which its titles all visit, so no task holds more than a part.
+    Segments are dealt into parts and titles into blocks; a task holds the trigrams of one part and
+    looks for one block of titles, so hits are counted where the segment is and no row per trigram or
+    per title and segment leaves it.  Exact filter: a title of n trigrams within the limit misses at
+    most ``m = floor(limit * n)`` of them, so of any ``m + c`` trigrams at least c are in the segment.
+    Those rarest in the part are counted first, with c a quarter of n, and only segments they hit c
+    times are counted whole.
     """
     owner = list(owner)
-    gram = REFERENCE_GRAM
+
+    def of_owner(df: DataFrame) -> DataFrame:
+        return df.dropna(subset=owner) if owner else df
+
+    def dealt(column: str, parts: int) -> Column:
+        return F.pmod(F.xxhash64(column), F.lit(parts)).cast("int")
+
+    def every(parts: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+
     titles = (
-        works.select(*owner, "work_id", text.match_key(F.col("title")).alias("_key"))
-        .where(F.length("_key") >= REFERENCE_MIN_CHARS)
-        .select(*owner, "work_id", text.ngrams(F.col("_key"), gram).alias("_grams"))
-    )
-    lines = materialize(
-        segments.select(*owner, "segment_id", text.match_key(F.col("segment")).alias("_key"))
-        .groupBy(*owner, "_key")
-        .agg(F.min("segment_id").alias("segment_id")),
-        "reference-lines",
-    )
-    title_grams = titles.select(
-        *owner, "work_id", F.size("_grams").alias("_n"), F.explode("_grams").alias("gram")
-    )
-    # How often a trigram occurs in titles stands in for its frequency in segments: the
-    # choice of prefix affects cost only, and all other trigrams of segments are never kept.
-    frequency = title_grams.groupBy(*owner, "gram").agg(F.count(F.lit(1)).alias("_df"))
-    missing = F.floor(F.lit(limit) * F.col("_n") + 1e-9)
-    hits = F.greatest(F.least(F.ceil(F.col("_n") / 4), F.col("_n") - missing), F.lit(1))
-    rarest = Window.partitionBy(*owner, "work_id").orderBy("_df", "gram")
-    chosen = materialize(
-        title_grams.join(frequency, [*owner, "gram"])
-        .withColumn("_rank", F.row_number().over(rarest))
-        .where(F.col("_rank") <= missing + hits)
-        .select(*owner, "work_id", "gram", hits.alias("_hits")),
-        "reference-titles",
-    )
-    postings = materialize(
-        lines.select(*owner, "segment_id", F.explode(text.ngrams(F.col("_key"), gram)).alias("gram")).join(
-            chosen.select(*owner, "gram").distinct(), [*owner, "gram"], "left_semi"
-        ),
-        "reference-postings",
-    )
-    sizes = postings.groupBy(*owner, "gram").agg(F.count(F.lit(1)).alias("_df"))
-    # At most HOT_LISTS lists are that long, so the table of them is small at any size.
-    hot_size = max(HOT_POSTINGS, postings.count() // HOT_LISTS)
-    hot = sizes.where(F.col("_df") > hot_size).withColumn("_parts", F.ceil(F.col("_df") / hot_size).cast("int"))
-    hot = F.broadcast(hot.select(*owner, "gram", "_parts"))
-    parts = F.coalesce("_parts", F.lit(1))
-    rare = (
-        chosen.join(hot, [*owner, "gram"], "left")
-        .withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1)))
-        .drop("_parts")
+        of_owner(works)
+        .select(*owner, "work_id", text.match_key(F.col("title")).alias("_title"))
+        .where(F.length("_title") >= REFERENCE_MIN_CHARS)
     )
-    dealt = (
-        postings.join(hot, [*owner, "gram"], "left")
-        .withColumn("_part", F.pmod(F.xxhash64("segment_id"), parts).cast("int"))
-        .drop("_parts")
-    )
-    candidates = (
-        rare.join(dealt, [*owner, "gram", "_part"])
-        .groupBy(*owner, "work_id", "segment_id", "_hits")
-        .agg(F.count(F.lit(1)).alias("_found"))
-        .where(F.col("_found") >= F.col("_hits"))
-        .select(*owner, "work_id", "segment_id")
-    )
-    absent = F.size(F.array_except("_grams", text.ngrams(F.col("_key"), gram))) / F.size("_grams")
-    best = (
-        candidates.join(titles, [*owner, "work_id"])
-        .join(lines, [*owner, "segment_id"])
-        .withColumn("score", absent)
-        .where(F.col("score") <= limit)
-        .groupBy(*owner, "work_id")
-        .agg(F.min(F.struct("score", "segment_id")).alias("b"))
+    blocks = max(1, -(-titles.count() // TITLE_BLOCK))
+    lines = of_owner(segments)
+    n = lines.count()
+    parts = max(1, -(-n // max(HOT_POSTINGS, n // HOT_LISTS)))
+    left = titles.withColumn("_block", dealt("work_id", blocks)).withColumn("_part", every(parts))
+    right = (
+        lines.select(*owner, "segment_id", text.match_key(F.col("segment")).alias("_key"))
+        .withColumn("_part", dealt("segment_id", parts))
+        .withColumn("_block", every(blocks))
     )
+    schema = T.StructType(
+        [*[titles.schema[c] for c in owner], titles.schema["work_id"], lines.schema["segment_id"]]
+    ).add("score", "double")
+
+    def best_in_part(wanted: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        rows = [] if wanted.empty or found.empty else _best_segments(wanted["_title"], found["_key"], limit)
+        best = pd.DataFrame({c: wanted[c].iloc[[r[0] for r in rows]].to_numpy() for c in (*owner, "work_id")})
+        ids = found["segment_id"].tolist()
+        best["segment_id"] = pd.Series([min((ids[i] for i in r[1]), key=_ordered) for r in rows], dtype=object)
+        best["score"] = [r[2] for r in rows]
+        return best
+
+    where = [*owner, "_block", "_part"]
+    found = left.groupBy(*where).cogroup(right.groupBy(*where)).applyInPandas(best_in_part, schema)
+    best = found.groupBy(*owner, "work_id").agg(F.min(F.struct("score", "segment_id")).alias("b"))
     return best.select(*owner, "work_id", "b.segment_id", "b.score").orderBy(*owner, "score", "work_id")
+
+
+def _ordered(value):
+    """A segment id as Spark orders it: a struct by its fields."""
+    return tuple(map(_ordered, value.values())) if isinstance(value, dict) else value
+
+
+def _trigrams(keys: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (place of the key, trigram) of all keys, in order of trigram and place.
+
+    Keys hold digits, letters and blanks, so a trigram is three bytes of one number.
+    """
+    lengths = keys.str.len().to_numpy(dtype=np.int64)
+    data = np.frombuffer("".join(keys).encode("ascii"), dtype=np.uint8).astype(np.int64)
+    if len(data) < REFERENCE_GRAM:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    row = np.repeat(np.arange(len(keys)), lengths)
+    inside = row[2:] == row[:-2]
+    gram = ((data[:-2] << 16) | (data[1:-1] << 8) | data[2:])[inside]
+    both = np.sort((gram << 32) | row[2:][inside])
+    both = both[np.append(True, both[1:] != both[:-1])] if len(both) else both
+    return both & 0xFFFFFFFF, both >> 32
+
+
+def _best_segments(titles: pd.Series, keys: pd.Series, limit: float) -> list[tuple[int, np.ndarray, float]]:
+    """(place of the title, places of its best segments, score) where a segment is within the limit."""
+    keys = keys.fillna("")
+    place, gram = _trigrams(keys)
+    title, wanted = _trigrams(titles)
+    by_title = np.argsort(title, kind="stable")
+    title, wanted = title[by_title], wanted[by_title]
+    first, last = np.searchsorted(gram, wanted), np.searchsorted(gram, wanted, side="right")
+    starts = np.searchsorted(title, np.arange(len(titles) + 1))
+    out = []
+    for t, (a, b) in enumerate(zip(starts[:-1], starts[1:], strict=True)):
+        n = int(b - a)
+        missing = int(np.floor(limit * n + 1e-9))
+        hits = max(min(-(-n // 4), n - missing), 1)
+        order = a + np.argsort((last - first)[a:b], kind="stable")
+        lists = [place[first[i] : last[i]] for i in order]
+        rare, rest = lists[: missing + hits], lists[missing + hits :]
+        counts = np.bincount(np.concatenate(rare), minlength=len(keys))
+        near = np.flatnonzero(counts >= hits)
+        if not len(near):
+            continue
+        total = counts[near]
+        for held in rest:
+            at = np.minimum(np.searchsorted(held, near), max(len(held) - 1, 0))
+            total = total + (held[at] == near if len(held) else 0)
+        score = float(n - total.max()) / n
+        if score <= limit:
+            out.append((t, near[total == total.max()], score))
+    return out

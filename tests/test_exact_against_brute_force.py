@@ -312,3 +312,22 @@ def test_no_table_of_queries_by_blocks_is_stored_or_broadcast(spark, monkeypatch
     assert [t.count() for t in stored["reached"]] == [rows, rows]
     asked, _ = neighbours.routed(stored["reached"][1], spark.createDataFrame([], "id long, v array<double>, cell int, sub int"), 64)
     assert asked.count() > rows
+
+
+@pytest.mark.parametrize("block", [20_000, 3])
+def test_reference_candidates_are_counted_where_the_segment_is(spark, monkeypatch, block):
+    """No row per trigram, nor per title and segment: the plan explodes nothing but blocks and parts."""
+    monkeypatch.setattr(matching, "HOT_POSTINGS", 16)
+    monkeypatch.setattr(matching, "TITLE_BLOCK", block)
+    works = spark.createDataFrame([(w, f"common words in title {w % 7} of {w}") for w in range(20)], "work_id int, title string")
+    rows = [((i % 5, i), f"common words in title {i % 7} of {i % 20} and more") for i in range(60)]
+    segments = spark.createDataFrame(rows, "segment_id struct<doc:int,place:int>, segment string")
+    # A segment without an id of its owner, and one without text, match nothing.
+    found = matching.match_references(works, segments.unionByName(segments.limit(1).withColumn("segment", F.lit(None).cast("string"))))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "_hits" not in plan and "array_except" not in plan
+    got = {r.work_id: (tuple(r.segment_id), r.score) for r in found.collect()}
+    mine = lambda s: {s[i : i + 3] for i in range(len(s) - 2)}
+    for w, title in works.collect():
+        best = min((len(mine(title) - mine(line)) / len(mine(title)), at) for at, line in rows)
+        assert got[w] == (best[1], best[0])
