@@ -180,3 +180,13 @@ def test_profile_keywords(works):
     )
     row = dims.where((F.col("researcher_id") == A) & (F.col("dim") == "keyword::plasma")).first()
     assert row.score == pytest.approx(1.6069)
+
+
+def test_pairs_are_made_by_as_many_tasks_as_they_need(spark, monkeypatch):
+    """The tasks follow the pairs that come out, not the few bytes of the links."""
+    monkeypatch.setattr(joins, "PAIRS_OF_TASK", 100)
+    rows = [(w, a) for w in range(20) for a in range(15)]
+    links = spark.createDataFrame(rows, "work_id int, author_id int")
+    pairs = joins.coauthor_pairs(links, hot=4)
+    per_task = pairs.groupBy(F.spark_partition_id()).count().agg(F.max("count"), F.count(F.lit(1)), F.sum("count")).first()
+    assert per_task[2] == 20 * 15 * 14 / 2 and per_task[1] > 10 and per_task[0] <= 1_000
