@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pytest
+
+from scriptorium.functions import vectors
 from scriptorium.operators import learn
 
 
@@ -20,3 +24,22 @@ def test_baselines_of_folds_fit_no_model(spark, monkeypatch):
     assert sorted((r.fold, round(r.baseline_mae, 9), r.n_obs) for r in learn.grouped_baselines(rows).collect()) == expected
     assert learn.grouped_baselines(rows.where("author_a = 1")).collect() == []
 
+
+@pytest.mark.parametrize("size", [64 << 20, 600])
+def test_pairs_meet_their_vectors_in_groups(spark, monkeypatch, size):
+    monkeypatch.setattr(learn, "GROUP_BYTES", size)
+    rng = np.random.default_rng(2)
+    theme, emb = rng.normal(size=(12, 3)), rng.normal(size=(12, 2))
+    themes = spark.createDataFrame([(i, theme[i].tolist()) for i in range(11)], "author_id long, vector array<double>")
+    some = spark.createDataFrame([(i, emb[i].tolist()) for i in range(0, 12, 2)], "author_id long, vector array<double>")
+    pairs = [(a, b, float(a)) for a in range(12) for b in range(a + 1, 12)]
+    labels = spark.createDataFrame(pairs, "author_a long, author_b long, uplift double")
+    rows = learn.build_pair_dataset(labels, themes, some, 3, 2)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroupsInPandas" in plan
+    got = {(r.author_a, r.author_b, r.y): r.features.toArray() for r in rows.collect()}
+    assert set(got) == {p for p in pairs if p[1] < 11}
+    for (a, b, _), found in got.items():
+        both = np.array([a % 2 == 0 and b % 2 == 0])
+        expected = vectors.pair_terms(theme[[a]], theme[[b]], emb[[a]], emb[[b]], both)[0]
+        assert np.allclose(found, expected, atol=1e-12)
