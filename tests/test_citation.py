@@ -190,3 +190,20 @@ def test_pairs_are_made_by_as_many_tasks_as_they_need(spark, monkeypatch):
     pairs = joins.coauthor_pairs(links, hot=4)
     per_task = pairs.groupBy(F.spark_partition_id()).count().agg(F.max("count"), F.count(F.lit(1)), F.sum("count")).first()
     assert per_task[2] == 20 * 15 * 14 / 2 and per_task[1] > 10 and per_task[0] <= 1_000
+
+
+def _many_works(spark, shared: int = 20, authors: int = 15):
+    works = spark.createDataFrame([(w, 2000 + w % 5, 1.0 + w / 7) for w in range(shared)], "work_id int, publication_year int, fwci double")
+    links = spark.createDataFrame([(w, a) for w in range(shared) for a in range(authors) if (w + a) % 4], "work_id int, author_id int")
+    return works, links
+
+
+def test_copublications_stay_in_tasks_of_their_size(spark, monkeypatch):
+    """Uplifts leave as many tasks as their pairs need, whatever the number of shuffle partitions."""
+    works, links = _many_works(spark)
+    whole = {tuple(r[:3]): r[3] for r in citation.copublication_uplift(works, links).collect()}
+    monkeypatch.setattr(joins, "PAIRS_OF_TASK", 100)
+    uplift = citation.copublication_uplift(works, links)
+    tasks = uplift.groupBy(F.spark_partition_id()).count().count()
+    assert tasks > 8
+    assert {tuple(r[:3]): r[3] for r in uplift.collect()} == pytest.approx(whole)
