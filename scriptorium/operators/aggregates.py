@@ -12,7 +12,7 @@ from pyspark.sql import Window
 
 from scriptorium.functions import calendar, text, vectors
 from scriptorium.operators import reshape
-from scriptorium.operators.joins import author_subfields, coauthor_pairs, copublications, prior_solo
+from scriptorium.operators.joins import author_subfields, copublications, gathered_pairs, prior_solo
 from scriptorium.session import materialize
 
 # ---- fixed values --------------------------------------------------------------------
@@ -37,7 +37,7 @@ COUNTER_OF_CATEGORY = {
 def collab_pairs(authorships: DataFrame) -> DataFrame:
     """Number of works two authors share.  Pairs are distinct per work, so a count does."""
     return (
-        coauthor_pairs(authorships)
+        gathered_pairs(authorships)
         .groupBy("author_a", "author_b")
         .agg(F.count(F.lit(1)).alias("co_publications"))
     )

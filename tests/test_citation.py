@@ -207,3 +207,12 @@ def test_copublications_stay_in_tasks_of_their_size(spark, monkeypatch):
     tasks = uplift.groupBy(F.spark_partition_id()).count().count()
     assert tasks > 8
     assert {tuple(r[:3]): r[3] for r in uplift.collect()} == pytest.approx(whole)
+
+
+def test_collab_pairs_are_counted_in_tasks_of_their_size(spark, monkeypatch):
+    works, links = _many_works(spark)
+    whole = {tuple(r) for r in aggregates.collab_pairs(links).collect()}
+    monkeypatch.setattr(joins, "PAIRS_OF_TASK", 100)
+    counted = aggregates.collab_pairs(links)
+    assert counted.groupBy(F.spark_partition_id()).count().count() > 8
+    assert {tuple(r) for r in counted.collect()} == whole
