@@ -6,7 +6,7 @@ vectors bound every score that a pair of blocks can hold.  Each researcher first
 its own block; after that a block meets another only while someone in it has a bound, against that
 block, that reaches the k-th best score found so far.  The blocks with the highest bounds come first,
 then the bounds are held to the better scores again.  Pairs of researchers are never rows: a task
-scores one block against another and returns k rows a researcher.
+scores a group of blocks against another and returns k rows a researcher.
 """
 
 from __future__ import annotations
@@ -39,6 +39,9 @@ MATCH_BLOCK = 1_024
 BOUND_GROUP, BOUND_CHUNK = 8, 512
 #: Blocks that a block meets in the first round after its own; four times as many in each next.
 FIRST_ROUND = 4
+#: Groups of blocks that meet, if there are as many blocks, and the numbers one holds, about.  A
+#: block is sent once to every group that it meets, not once to every block.
+GROUPS, GROUP_NUMBERS = 8, 5_000_000
 #: Scores are compared at this precision so that equal ones tie exactly.
 SCORE_DIGITS = 9
 #: What rounding may add to a bound, and what rounds to a score of zero.
@@ -58,6 +61,8 @@ class Rows:
         )
         cell = self.row * WIDTH + self.level
         self.norms = np.sqrt(np.bincount(cell, self.weight**2, self.n * WIDTH)).reshape(self.n, WIDTH)
+        self.known, first = np.unique(self.dim, return_index=True)
+        self.known_level = self.level[first]
         size = self.norms.ravel()[cell]
         self.unit = np.divide(self.weight, size, out=np.zeros_like(size), where=size > 0)
         self.has = pdf["vector"].notna().to_numpy()
@@ -76,8 +81,7 @@ class Rows:
         return out
 
     def levels_of(self, dims: np.ndarray) -> np.ndarray:
-        known, first = np.unique(self.dim, return_index=True)
-        return self.level[first[np.searchsorted(known, dims)]]
+        return self.known_level[np.searchsorted(self.known, dims)]
 
 
 class Tops(Rows):
@@ -90,6 +94,7 @@ class Tops(Rows):
         self.dim, self.level, self.weight, self.unit = (
             np.concatenate([np.asarray(x) for x in pdf[c]]) for c in ("dims", "levels", "weights", "units")
         )
+        self.known = np.unique(self.dim)
         self.norms = np.stack(pdf["norms"].to_numpy())
         self.block, self.plain = pdf["block"].to_numpy(), pdf["plain"].to_numpy().astype(bool)
         size = max(len(c) for c in pdf["centre"])
@@ -120,7 +125,7 @@ class Scores:
 
     def matrices(self, one: Rows, two: Rows, rows: np.ndarray) -> dict[str, np.ndarray]:
         """All scores of the chosen rows of ``one`` with ``two``."""
-        shared = np.intersect1d(one.dim, two.dim)
+        shared = np.intersect1d(one.known, two.known, assume_unique=True)
         level = one.levels_of(shared)
         x, y = one.dense(shared, one.weight)[rows], two.dense(shared, two.weight)
         xu, yu = one.dense(shared, one.unit)[rows], two.dense(shared, two.unit)
@@ -148,7 +153,7 @@ class Scores:
         """The largest score each row of ``one`` can have in each block of ``tops``, and whether it
         reaches the row's ``floor``.  What rounds to 0 does not reach a floor of 0 where no score is
         negative, since the smallest ids with that score are known."""
-        shared = np.intersect1d(one.dim, tops.dim)
+        shared = np.intersect1d(one.known, tops.known, assume_unique=True)
         level = one.levels_of(shared)
         units, weights = {}, {}
         for n in range(WIDTH):
@@ -184,7 +189,7 @@ def _people(profiles: DataFrame, embeddings: DataFrame, key: str, block: int) ->
     level = F.when(place > 0, place - 1).otherwise(len(LEVELS))
     flat = profiles.join(dims, "dim").select("id", "d", level.alias("level"), "weight")
     people = flat.groupBy("id").agg(
-        F.collect_list(F.struct("d", "level", "weight")).alias("rows"),
+        F.sort_array(F.collect_list(F.struct("d", "level", "weight"))).alias("rows"),
         *[
             F.coalesce(F.max(F.when(F.col("level") == i, F.struct("weight", "d")))["d"], F.lit(-1)).alias(top)
             for i, top in enumerate(tops)
@@ -277,42 +282,68 @@ def _floor(pdf: pd.DataFrame) -> np.ndarray:
     return pdf["floor"].to_numpy(dtype=float, na_value=-np.inf)
 
 
+def _dealt(column: str, parts: int):
+    return F.pmod(F.xxhash64(column), F.lit(parts)).cast("long")
+
+
 def score_blocks(
     pairs: DataFrame, people: DataFrame, others: DataFrame, score: Scores, k: int
 ) -> DataFrame:
-    """The ``k`` best partners in block q of every researcher of block p, for the rows (p, q) of
-    ``pairs``.  ``people`` has ``floor``, the k-th best score so far (null where there is none):
-    rows that cannot reach it are left out before anything is scored."""
+    """The ``k`` best partners of every researcher of block p in the blocks q, for the rows
+    (g, h, p, q, bound) of ``pairs``: a task scores what one (g, h) names, highest bounds first.
+
+    ``people`` has ``floor``, the k-th best score so far (null where there is none); it rises with
+    what the task finds.  Rows that cannot reach it are left out before anything is scored."""
     id_type = dict(people.dtypes)["id"]
     fields = f"researcher_a {id_type}, researcher_b {id_type}, " + ", ".join(f"{n} double" for n in MATCH_SCORES)
     columns = ["id", "dims", "levels", "weights", "vector"]
-    left = pairs.select("p", "q").join(people, pairs["p"] == people["block"]).select("p", "q", "floor", *columns)
+    turns = pairs.groupBy("g", "h", "p").agg(F.sort_array(F.collect_list(F.struct((-F.col("bound")).alias("last"), "q"))).alias("turns"))
+    left = turns.join(people, turns["p"] == people["block"]).select(
+        "g", "h", "p", F.col("turns.q").alias("qs"), "floor", *columns
+    )
     # Columns of their own, or the two sides of the cogroup would be taken for one.
-    right = pairs.select(F.col("p").alias("p2"), F.col("q").alias("q2")).join(others, F.col("q2") == others["block"])
-    right = right.select(F.col("p2").alias("p"), F.col("q2").alias("q"), *[F.col(c).alias(c) for c in columns])
+    wanted = pairs.select(*[F.col(c).alias(f"{c}2") for c in ("g", "h", "q")]).distinct()
+    right = wanted.join(others, F.col("q2") == others["block"])
+    right = right.select(*[F.col(f"{c}2").alias(c) for c in ("g", "h", "q")], *[F.col(c).alias(c) for c in columns])
 
     def best(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
-        nothing = pd.DataFrame({c.split()[0]: [] for c in fields.split(", ")})
-        if one.empty or two.empty:
-            return nothing
-        two = two.sort_values("id", kind="stable")
-        x, y, floor = Rows(one), Rows(two), _floor(one)
-        rows = np.flatnonzero(score.reach(x, floor, Tops(_summary(two.assign(block=0))))[1][:, 0])
-        if not len(rows):
-            return nothing
-        scores = score.matrices(x, y, rows)
-        ids, partners = one["id"].to_numpy()[rows], two["id"].to_numpy()
-        rank = np.round(scores[score.by], SCORE_DIGITS)
-        rank[ids[:, None] == partners[None, :]] = -np.inf
-        order = np.argsort(-rank, axis=1, kind="stable")[:, :k]
-        at = np.repeat(np.arange(len(ids)), order.shape[1]), order.ravel()
-        keep = (rank[at] > -np.inf) & (rank[at] >= np.round(floor[rows], SCORE_DIGITS)[at[0]])
-        at = at[0][keep], at[1][keep]
-        return pd.DataFrame(
-            {"researcher_a": ids[at[0]], "researcher_b": partners[at[1]]} | {n: s[at] for n, s in scores.items()}
-        )
+        out = [pd.DataFrame({c.split()[0]: [] for c in fields.split(", ")})]
+        met = {}
+        for q, block in two.groupby("q"):
+            block = block.sort_values("id", kind="stable")
+            met[q] = block["id"].to_numpy(), Rows(block), Tops(_summary(block.assign(block=q)))
+        for _, block in one.groupby("p"):
+            x, floor, ids = Rows(block), _floor(block), block["id"].to_numpy()
+            tops, found = np.full((x.n, k), -np.inf), []
+            for q in block["qs"].iloc[0]:
+                if q not in met:
+                    continue
+                partners, y, top = met[q]
+                rows = np.flatnonzero(score.reach(x, floor, top)[1][:, 0])
+                if not len(rows):
+                    continue
+                scores = score.matrices(x, y, rows)
+                rank = np.round(scores[score.by], SCORE_DIGITS)
+                rank[ids[rows][:, None] == partners[None, :]] = -np.inf
+                order = np.argsort(-rank, axis=1, kind="stable")[:, :k]
+                tops[rows] = np.sort(np.hstack([tops[rows], np.take_along_axis(rank, order, axis=1)]), axis=1)[:, -k:]
+                floor = np.maximum(floor, tops[:, 0])
+                at = np.repeat(np.arange(len(rows)), order.shape[1]), order.ravel()
+                keep = (rank[at] > -np.inf) & (rank[at] >= np.round(floor[rows], SCORE_DIGITS)[at[0]])
+                at = at[0][keep], at[1][keep]
+                found.append((rows[at[0]], partners[at[1]], rank[at], *[s[at] for s in scores.values()]))
+            if found:
+                row, partner, rank, *values = map(np.concatenate, zip(*found, strict=True))
+                keep = rank >= np.round(floor[row], SCORE_DIGITS)
+                out.append(
+                    pd.DataFrame(
+                        {"researcher_a": ids[row[keep]], "researcher_b": partner[keep]}
+                        | {n: v[keep] for n, v in zip(MATCH_SCORES, values, strict=True)}
+                    )
+                )
+        return pd.concat([x for x in out if len(x)] or out)
 
-    return left.groupBy("p", "q").cogroup(right.groupBy("p", "q")).applyInPandas(best, fields)
+    return left.groupBy("g", "h").cogroup(right.groupBy("g", "h")).applyInPandas(best, fields)
 
 
 def _best_of(found: Sequence[DataFrame], score: Scores, k: int) -> DataFrame:
@@ -349,12 +380,19 @@ def best_matches(
     last = people.orderBy("id").limit(2 * k + 1).agg(F.max("id").alias("id")).first()["id"]
     others = people.withColumn("block", F.when(F.col("id") <= F.lit(last), F.lit(FIRST_IDS)).otherwise(F.col("block")))
     unbound = people.withColumn("floor", F.lit(None).cast("double"))
-    own = people.select(F.col("block").alias("p"), F.col("block").alias("q")).distinct()
-    starts = own.unionByName(own.select("p", F.lit(FIRST_IDS).cast("long").alias("q")))
+    own = materialize(people.select(F.col("block").alias("p"), F.col("block").alias("q")).distinct(), "match-own")
+    # A block meets the smallest ids and itself in one task; those first, since a floor of 0 counts on them.
+    first = own.select("p", F.lit(FIRST_IDS).cast("long").alias("q"), F.lit(1.0).alias("bound"))
+    starts = own.withColumn("bound", F.lit(0.0)).unionByName(first).select(
+        F.col("p").alias("g"), F.lit(0).cast("long").alias("h"), "p", "q", "bound"
+    )
     found = materialize(_best_of([score_blocks(starts, unbound, others, score, k)], score, k), "match-found")
-    if own.count() < 2:
+    blocks = own.count()
+    if blocks < 2:
         return found
-    summaries, done, width = _summaries(people), own, FIRST_ROUND
+    numbers = people.agg(F.sum(F.size("dims") + F.greatest(F.coalesce(F.size("vector"), F.lit(0)), F.lit(0)))).first()[0]
+    groups = max(min(blocks, GROUPS), -(-numbers // GROUP_NUMBERS))
+    summaries, done, width, met = _summaries(people), own, FIRST_ROUND, blocks
     while True:
         floors = (
             found.groupBy(F.col("researcher_a").alias("id"))
@@ -363,13 +401,25 @@ def best_matches(
             .select("id", "floor")
         )
         bounded = people.join(floors, "id", "left")
-        open_pairs = block_bounds(bounded, summaries, score).join(done, ["p", "q"], "left_anti")
-        order = Window.partitionBy("p").orderBy(F.desc("bound"), "q")
-        turn = materialize(open_pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= width), "match-turn")
-        if turn.isEmpty():
+        open_pairs = materialize(block_bounds(bounded, summaries, score).join(done, ["p", "q"], "left_anti"), "match-open")
+        left = open_pairs.count()
+        if not left:
             return found
+        if width > FIRST_ROUND and 2 * left > blocks * blocks - met:
+            # Bounds leave out little here: more rounds would only send the blocks again.
+            width = blocks
+        order = Window.partitionBy("p").orderBy(F.desc("bound"), "q")
+        turn = materialize(
+            open_pairs.withColumn("rank", F.row_number().over(order))
+            .where(F.col("rank") <= width)
+            .select(_dealt("p", groups).alias("g"), _dealt("q", groups).alias("h"), "p", "q", "bound"),
+            "match-turn",
+        )
         found = materialize(_best_of([found, score_blocks(turn, bounded, others, score, k)], score, k), "match-found")
-        done, width = done.unionByName(turn.select("p", "q")), 4 * width
+        taken = turn.count()
+        if taken == left:
+            return found
+        done, width, met = done.unionByName(turn.select("p", "q")), 4 * width, met + taken
 
 
 def top_overall(matches: DataFrame, n: int = SEARCH_LIMIT, by: str = "complementarity") -> DataFrame:

@@ -109,3 +109,20 @@ def scored(spark, monkeypatch, n: int, by: str) -> int:
 def test_scored_blocks_grow_slower_than_pairs(spark, monkeypatch, by):
     few, many = scored(spark, monkeypatch, 240, by), scored(spark, monkeypatch, 960, by)
     assert many < 10 * few  # all pairs of blocks would be 16 times as many
+
+
+def test_blocks_are_sent_to_groups_not_to_every_block(spark, monkeypatch):
+    """Where bounds leave out little, a block goes to the few groups of blocks in two rounds."""
+    met, sent = [], []
+    inner = matches.score_blocks
+
+    def counting(pairs, *rest):
+        met.append(pairs.where(f"q != {matches.FIRST_IDS}").count())
+        sent.append(sum(pairs.select("g", "h", side).distinct().count() for side in "pq"))
+        return inner(pairs, *rest)
+
+    monkeypatch.setattr(matches, "score_blocks", counting)
+    matching.best_matches(*tables(spark, *people(5, 400, 1, 0.0)), 3, block=5).count()
+    blocks = met[0]
+    assert blocks >= 40 and sum(met) > blocks * blocks / 2
+    assert sum(sent) < blocks * (4 + 4 * matches.GROUPS) and sum(sent) < sum(met)
