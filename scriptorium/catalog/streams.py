@@ -53,7 +53,9 @@ def r3(spark, sf):
     path = scratch_path(spark, "logs")
     logs.repartitionByRange(4, "timestamp").write.parquet(path)
     stream = reshape.clean_logs(jobs.file_stream(spark, path, logs.schema))
-    points = _drain(spark, jobs.rolling_counters(stream, "1 hour"))
+    kept = scratch_path(spark, "rolling")
+    jobs.rolling_counters(stream, "1 hour", kept, scratch_path(spark, "progress"))
+    points = jobs.rolling_points(spark, kept)
     first = spark.read.parquet(path).agg(F.to_date(F.min("timestamp")).alias("first")).scalar()
     whole = points.where(F.col("date") >= F.date_add(first, windows.ROLLING_DAYS))
     return whole.withColumn("date", F.col("date").cast("string"))

@@ -10,7 +10,7 @@ import json
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -116,15 +116,20 @@ def tumbling_counts(
     )
 
 
-def rolling_counters(logs: DataFrame, delay: str, days: int = windows.ROLLING_DAYS) -> DataFrame:
-    """The point of ``windows.rolling_kpis`` at every midnight t, over ``(t - days, t]``, once the
-    watermark passes it; also the first ones, whose days are not all covered.
-
-    Exact, by three windowed aggregations in a chain: counters and each distinct user, respondent
-    and project of a day; each of these once per sliding window; their numbers per window.  An
-    identity's entries of a day are one row before windows multiply them.  Spark windows are closed
-    on the left, so event time moves back by the smallest unit.
+def rolling_counters(
+    logs: DataFrame, delay: str, path: str, checkpoint: str, days: int = windows.ROLLING_DAYS
+) -> None:
+    """Keep below ``path`` what :func:`rolling_points` reads: the points of ``windows.rolling_kpis`` at
+    every midnight t, over ``(t - days, t]``, once the watermark passes it.
+
+    Exact, without a copy of an identity for every window: the stream closes days, each with its
+    counters and its distinct users, respondents and projects.  Of an identity's day only the
+    midnights count that its day before does not reach, so a closed day is looked up among the
+    ``days`` before it and leaves a histogram of spans (``spans``), as small as the calendar.
+    Days close in order, and replaying a batch rewrites its own folders only.  Event time moves
+    back by the smallest unit, because Spark windows are closed on the left.
     """
+    spark = logs.sparkSession
     identities = aggregates.activity_identities()
     seen = [F.struct(F.lit(name).alias("what"), who.alias("who")) for name, who in identities.items()]
     entries = (
@@ -133,20 +138,69 @@ def rolling_counters(logs: DataFrame, delay: str, days: int = windows.ROLLING_DA
         .withColumn("i", F.explode(F.array(F.struct(F.lit(ACTIONS).alias("what"), F.lit("").alias("who")), *seen)))
         .where(F.col("i.who").isNotNull())
     )
-    daily = entries.groupBy(F.window("event_time", "1 day").alias("day"), "i.what", "i.who").agg(
+    daily = entries.groupBy(F.window("event_time", "1 day").alias("span"), "i.what", "i.who").agg(
         *aggregates.activity_counters()
     )
-    counters = [c for c in daily.columns if c not in ("day", "what", "who")]
-    spans = daily.groupBy(
-        F.window(F.window_time("day"), f"{days} days", "1 day").alias("span"), "what", "who"
-    ).agg(*[F.sum(c).alias(c) for c in counters])
-    points = spans.groupBy("span").agg(
-        *[F.sum(F.when(F.col("what") == ACTIONS, F.col(c))).alias(c) for c in counters],
-        *[F.count_if(F.col("what") == name).alias(name) for name in identities],
+    closed = daily.withColumn("day", F.to_date("span.start")).select("what", "who", "day", *_counters())
+
+    def handle(batch: DataFrame, number: int) -> None:
+        label = f"{number:012d}"
+        _overwrite(batch.withColumn("batch", F.lit(label)), f"{path}/days", ["batch"])
+        kept = _rolling_days(batch.sparkSession, path).where(F.col("what") != ACTIONS)
+        now = kept.where(F.col("batch") == label).select("what", "who", "day", F.lit(True).alias("new"))
+        horizon = now.agg(F.date_sub(F.min("day"), days).alias("horizon")).scalar()
+        before = kept.where((F.col("batch") < label) & (F.col("day") > horizon))
+        before = before.groupBy("what", "who").agg(F.max("day").alias("day"), F.lit(False).alias("new"))
+        last = F.lag("day").over(Window.partitionBy("what", "who").orderBy("day"))
+        spans = (
+            now.union(before)
+            .withColumn("since", F.date_add(F.greatest("day", F.date_add(last, days)), 1))
+            .where("new")
+            .groupBy("what", "since", F.date_add("day", days).alias("until"))
+            .agg(F.count(F.lit(1)).alias("n"))
+        )
+        _overwrite(spans.withColumn("batch", F.lit(label)), f"{path}/spans", ["batch"])
+
+    query = (
+        closed.writeStream.foreachBatch(handle)
+        .option("checkpointLocation", checkpoint)
+        .outputMode("append")
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    marks = [p["eventTime"]["watermark"] for p in query.recentProgress if "watermark" in p["eventTime"]]
+    passed = spark.range(1).select(F.lit(max(marks, default=None)).cast("timestamp").alias("watermark"))
+    passed.write.mode("append").parquet(f"{path}/passed")
+
+
+def _counters() -> list[str]:
+    return [c for c in aggregates.POINT_COLUMNS if c not in ("date", "users_total", *aggregates.activity_identities())]
+
+
+def _rolling_days(spark: SparkSession, path: str) -> DataFrame:
+    counters = ", ".join(f"{c} long" for c in _counters())
+    return spark.read.schema(f"what string, who string, day date, {counters}, batch string").parquet(f"{path}/days")
+
+
+def rolling_points(spark: SparkSession, path: str, days: int = windows.ROLLING_DAYS) -> DataFrame:
+    """The points that :func:`rolling_counters` kept below ``path``; also the first ones, whose days are
+    not all covered."""
+    closed, counters = _rolling_days(spark, path).where(F.col("what") == ACTIONS), _counters()
+    reached = F.explode(F.sequence(F.date_add("day", 1), F.date_add("day", days))).alias("date")
+    sums = closed.select(reached, *counters).groupBy("date").agg(*[F.sum(c).alias(c) for c in counters])
+    spans = spark.read.schema("what string, since date, until date, n long, batch string").parquet(f"{path}/spans")
+    names = list(aggregates.activity_identities())
+    people = (
+        spans.select("what", "n", F.explode(F.sequence("since", "until")).alias("date"))
+        .groupBy("date")
+        .agg(*[F.sum(F.when(F.col("what") == name, F.col("n"))).alias(name) for name in names])
+    )
+    passed = spark.read.parquet(f"{path}/passed").agg(F.to_date(F.max("watermark")).alias("passed")).scalar()
+    points = sums.join(people, "date", "left").where(F.col("date") <= passed).fillna(0, names)
+    return points.withColumn("users_total", F.col("users_logged") + F.col("users_surveyed")).select(
+        *aggregates.POINT_COLUMNS
     )
-    return points.select(
-        F.to_date("span.end").alias("date"), "*", (F.col("users_logged") + F.col("users_surveyed")).alias("users_total")
-    ).select(*aggregates.POINT_COLUMNS)
 
 
 def deduplicate(stream: DataFrame, keys: Sequence[str], time: str, delay: str) -> DataFrame:
