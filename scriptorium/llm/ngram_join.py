@@ -15,7 +15,8 @@ frequent neighbourhoods alone could reach that sum are joined on these, against
 
 Sets that share fewer signatures than any link needs leave first.  Within a signature's sets all are verified against the one that shares most signatures; where that leaves sets in
 different components, the rest is verified too, but for pairs that the triangle inequality of
-the Jaccard distance rules out.  Equal sets are one node from the start.  Every link between
+the Jaccard distance rules out: as pairs where few are outside the largest component, else its
+sets meet in slices and only links leave a task.  Equal sets are one node from the start.  Every link between
 different sets is found or lies inside a component that verified links connect.
 """
 
@@ -27,12 +28,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptorium.llm.common import blocks, over_batches, over_streams, shuffle_partitions, stored
-from scriptorium.llm.components import components, unresolved_pairs, with_leaders
+from scriptorium.llm.components import components, open_pairs, reach, unresolved_members, with_leaders
 
 WORDS = 4
 PERCENT = 85
 #: A signature that more sets share is frequent.
 FREQUENT = 64
+#: Bytes of a slice of a signature's open sets, about; two slices meet in memory.
+SLICE_BYTES = 8 << 20
+#: Text of one pass over n-grams, whose arrays are some forty times as large.
+BLOCK_BYTES = 512 << 10
 #: Growth of size bands.
 RATIO = 1.6
 SPARE = "array<struct<band:int,n:int>>"
@@ -169,7 +174,7 @@ def profile(rows: DataFrame, words: int, part: Partition) -> DataFrame:
 
     def begin():
         def each(batch):
-            for block in blocks(batch, "text"):
+            for block in blocks(batch, "text", BLOCK_BYTES):
                 sets = ngram_sets(block.column("text"), words)
                 ids = [identity(s) for s in sets]
                 spare = [
@@ -216,7 +221,7 @@ def shared_signatures(rows: DataFrame, words: int, part: Partition) -> DataFrame
 
     def begin():
         def each(batch):
-            for block in blocks(batch, "text"):
+            for block in blocks(batch, "text", BLOCK_BYTES):
                 keys, owners = [], []
                 for s in ngram_sets(block.column("text"), words):
                     if len(s):
@@ -317,6 +322,85 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return over_batches(both, begin, "x long, y long, common long, nx long, ny long")
 
 
+def _open_links(members: DataFrame, sets: DataFrame, percent: int, slice_bytes: int) -> DataFrame:
+    """Links (``a``, ``b``) that connect what is linked among the ``members`` of each signature.
+
+    A signature's members are cut into slices, and each pair of slices meets in one task: as
+    many copies of a member as its signature has slices.  A link inside one component, old or
+    made by a link before it, is not looked for.
+    """
+    cut = members.groupBy("tier", "key").agg(F.ceil(F.sum("size") * 8 / slice_bytes).cast("int").alias("slices"))
+    sliced = members.join(cut, ["tier", "key"]).withColumn(
+        "slice", F.pmod(F.xxhash64("node"), F.greatest("slices", F.lit(1))).cast("int")
+    )
+    # Cell (i, j), i <= j, holds slices i and j.
+    other = F.explode(F.sequence(F.lit(0), F.greatest("slices", F.lit(1)) - 1)).alias("other")
+    cell = ["tier", "key", "i", "j"]
+    dealt = (
+        sliced.select("*", other)
+        .withColumns({"i": F.least("slice", "other"), "j": F.greatest("slice", "other")})
+        .join(sets.select("node", "tokens"), "node")
+        .select(*cell, "slice", "node", "component", "far", "tokens")
+        .repartition(shuffle_partitions(members.sparkSession), *cell)
+        .sortWithinPartitions(*cell)
+    )
+
+    def run(batches):
+        held, at = [], None
+        for batch in batches:
+            where = np.stack([batch.column(c).to_numpy() for c in cell], 1)
+            cuts = np.flatnonzero((where[1:] != where[:-1]).any(1)) + 1
+            for begin, end in zip([0, *cuts.tolist()], [*cuts.tolist(), len(where)], strict=True):
+                if begin == end:
+                    continue
+                if held and at != tuple(where[begin]):
+                    yield _cell_links(pa.Table.from_batches(held), at[2] == at[3], percent)
+                    held = []
+                at = tuple(where[begin])
+                held.append(batch.slice(begin, end - begin))
+        if held:
+            yield _cell_links(pa.Table.from_batches(held), at[2] == at[3], percent)
+
+    return over_streams(dealt, run, "a long, b long")
+
+
+def _cell_links(rows: pa.Table, one: bool, percent: int) -> dict:
+    """Links of a cell's rows: of all with each other (``one``), or of either slice with the other."""
+    node, side, far = (rows.column(c).to_numpy() for c in ("node", "slice", "far"))
+    _, part = np.unique(rows.column("component").to_numpy(), return_inverse=True)
+    tokens = [np.frombuffer(t.as_buffer(), _U) for t in rows.column("tokens")]
+    size = np.array([len(t) for t in tokens])
+    starts = np.r_[0, np.cumsum(size)[:-1]]
+    main = np.bincount(part).argmax()
+    ranks = None
+    left = np.ones(len(node), bool)  # rows whose pairs are not all settled
+    out = {"a": [], "b": []}
+    for x in np.flatnonzero(part != main).tolist():
+        left[x] = False
+        may = left & (part != part[x]) & (np.abs(far - far[x]) <= reach(percent))
+        may &= 100 * np.minimum(size, size[x]) >= percent * np.maximum(size, size[x])
+        if not one:
+            may &= side != side[x]
+        asked = np.flatnonzero(may)
+        if not len(asked):
+            continue
+        if ranks is None:
+            values, ranks = np.unique(np.concatenate(tokens), return_inverse=True)
+            mine = np.zeros(len(values), np.int64)
+        mine[ranks[starts[x] : starts[x] + size[x]]] = 1
+        lengths = size[asked]
+        ends = np.cumsum(lengths)
+        at = np.arange(ends[-1]) + np.repeat(starts[asked] - (ends - lengths), lengths)
+        common = np.add.reduceat(mine[ranks[at]], ends - lengths)
+        mine[ranks[starts[x] : starts[x] + size[x]]] = 0
+        linked = asked[100 * common >= percent * (size[x] + lengths - common)]
+        parts, first = np.unique(part[linked], return_index=True)
+        out["a"] += [int(node[x])] * len(parts)
+        out["b"] += node[linked[first]].tolist()
+        part[np.isin(part, parts)] = part[x]
+    return out
+
+
 def _probed(shared: DataFrame, need: DataFrame) -> DataFrame:
     """``shared`` (``key``, ``a``) without the signatures that a set leaves unprobed: its most frequent
     ones, as many as it has to spare.
@@ -342,6 +426,7 @@ def jaccard_components(
     words: int = WORDS,
     percent: int = PERCENT,
     frequent: int = FREQUENT,
+    slice_bytes: int = SLICE_BYTES,
 ) -> DataFrame:
     """``doc_id``, ``n_shingles`` and ``component_id`` of every row.
 
@@ -370,7 +455,7 @@ def jaccard_components(
 
     def begin():
         def take(batch):
-            for block in blocks(batch, "text"):
+            for block in blocks(batch, "text", BLOCK_BYTES):
                 sets = ngram_sets(block.column("text"), words)
                 wanted = zip(block.column("node").to_pylist(), block.column("a").to_pylist(),
                              block.column("b").to_pylist(), sets, strict=True)
@@ -420,8 +505,10 @@ def jaccard_components(
     linked = F.expr(f"100 * common >= {percent} * (nx + ny - common)")
     links = checked.where(linked).select(F.col("x").alias("a"), F.col("y").alias("b"))
     found = stored(components(links), "components")
-    rest = unresolved_pairs(led, checked, found, percent).select("x", "y").distinct()
-    more = stored(_verified(rest, sets), "rest").where(linked).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    rest = stored(unresolved_members(led, checked, found, percent), "open")
+    crowded = _open_links(rest.where("crowded"), sets, percent, slice_bytes)
+    few = _verified(open_pairs(rest, percent), sets).where(linked).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    more = stored(crowded.union(few), "rest")
     if more.head(1):
         found = stored(components(links.union(more)), "components")
     placed = classes.join(found, "node", "left").select(
