@@ -43,3 +43,23 @@ def test_pairs_meet_their_vectors_in_groups(spark, monkeypatch, size):
         both = np.array([a % 2 == 0 and b % 2 == 0])
         expected = vectors.pair_terms(theme[[a]], theme[[b]], emb[[a]], emb[[b]], both)[0]
         assert np.allclose(found, expected, atol=1e-12)
+
+
+def test_features_leave_pandas_as_bytes(spark):
+    themes = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(3)], "author_id long, vector array<double>")
+    rows = learn.pair_vectors(spark.createDataFrame([(0, 1), (0, 2)], "author_a long, author_b long"), themes, None, 2)
+    node = rows._jdf.queryExecution().analyzed()
+    while "CoGroups" not in node.nodeName():
+        node = node.children().head()
+    assert node.schema().apply("_f").dataType().simpleString() == "binary"
+    assert {r.author_b: len(r.features) for r in rows.collect()} == {1: 6, 2: 6}
+
+
+def test_bytes_are_read_from_slices():
+    import pyarrow as pa
+
+    numbers = np.arange(12, dtype=float).reshape(6, 2)
+    packed = pa.array([row.tobytes() for row in numbers])
+    for part in (packed, packed.slice(2, 3), packed.slice(6), packed.slice(0, 0)):
+        at = [int(np.frombuffer(b, float)[0]) // 2 for b in part.to_pylist()]
+        assert vectors.read_doubles(part).to_pylist() == numbers[at].tolist()
