@@ -21,7 +21,7 @@ from pyspark.sql import Window
 
 from scriptorium.functions import vectors
 from scriptorium.operators import windows
-from scriptorium.operators.neighbours import LEVELS
+from scriptorium.operators.neighbours import LEVELS, best_places
 from scriptorium.session import materialize
 
 # ---- fixed values --------------------------------------------------------------------
@@ -42,6 +42,9 @@ FIRST_ROUND = 4
 #: Groups of blocks that meet, if there are as many blocks, and the numbers one holds, about.  A
 #: block is sent once to every group that it meets, not once to every block.
 GROUPS, GROUP_NUMBERS = 8, 5_000_000
+#: Profiles that fill so small a matrix are kept as one, as a multiple of their numbers; numbers that
+#: are gathered for pairs at a time.
+FULL_SHARE, GATHERED = 2, 1 << 20
 #: Scores are compared at this precision so that equal ones tie exactly.
 SCORE_DIGITS = 9
 #: What rounding may add to a bound, and what rounds to a score of zero.
@@ -71,13 +74,22 @@ class Rows:
         if found:
             self.vector[self.has] = np.stack(found)
 
-    def dense(self, dims: np.ndarray, values: np.ndarray) -> np.ndarray:
-        """``values`` as a matrix over the sorted ``dims``."""
+    def dense(self, dims: np.ndarray, kind: str) -> np.ndarray:
+        """The values ``kind`` as a matrix over the sorted ``dims``."""
+        full = self.__dict__.setdefault("_full", {})
+        if self.n * len(self.known) <= FULL_SHARE * len(self.dim):
+            if kind not in full:
+                full[kind] = self._filled(self.known, kind)
+            if np.isin(dims, self.known, assume_unique=True).all():
+                return full[kind][:, np.searchsorted(self.known, dims)]
+        return self._filled(dims, kind)
+
+    def _filled(self, dims: np.ndarray, kind: str) -> np.ndarray:
         at = np.searchsorted(dims, self.dim)
         at[at == len(dims)] = 0
         held = dims[at] == self.dim if len(dims) else np.zeros(len(at), bool)
         out = np.zeros((self.n, len(dims)))
-        out[self.row[held], at[held]] = values[held]
+        out[self.row[held], at[held]] = getattr(self, kind)[held]
         return out
 
     def levels_of(self, dims: np.ndarray) -> np.ndarray:
@@ -123,20 +135,46 @@ class Scores:
             "complementarity": (0.0, 0.0),
         }[by]
 
-    def matrices(self, one: Rows, two: Rows, rows: np.ndarray) -> dict[str, np.ndarray]:
-        """All scores of the chosen rows of ``one`` with ``two``."""
+    def ranked(self, one: Rows, two: Rows, rows: np.ndarray) -> np.ndarray:
+        """The score ranked by, of the chosen rows of ``one`` with ``two``."""
+        if self.by == "complementarity":
+            shared = np.intersect1d(one.known, two.known, assume_unique=True)
+            level = one.levels_of(shared)
+            x, y = one.dense(shared, "unit")[rows], two.dense(shared, "unit")
+            share, topic = self.shares_of(level), level == self.topic
+            out = x[:, topic] @ y[:, topic].T
+            np.subtract(1.0, out, out=out)
+            out *= (x * share)[:, share > 0] @ y[:, share > 0].T
+            return out
+        out = np.zeros((len(rows), two.n))
+        if self.shares[0]:
+            shared = np.intersect1d(one.known, two.known, assume_unique=True)
+            out = (one.dense(shared, "weight")[rows] * self.shares[0]) @ two.dense(shared, "weight").T
+        if self.shares[1] and one.vector.size and two.vector.size:
+            out += (one.vector[rows] * self.shares[1]) @ two.vector.T
+        return out
+
+    def shares_of(self, level: np.ndarray) -> np.ndarray:
+        return np.array([self.context.get(n, 0.0) for n in range(WIDTH)])[level]
+
+    def values(self, one: Rows, two: Rows, i: np.ndarray, j: np.ndarray) -> list[np.ndarray]:
+        """All scores of rows ``i`` of ``one``, each with its row ``j`` of ``two``."""
         shared = np.intersect1d(one.known, two.known, assume_unique=True)
         level = one.levels_of(shared)
-        x, y = one.dense(shared, one.weight)[rows], two.dense(shared, two.weight)
-        xu, yu = one.dense(shared, one.unit)[rows], two.dense(shared, two.unit)
-        of = {n: xu[:, level == n] @ yu[:, level == n].T for n in (*self.context, self.topic)}
-        context = sum(of[n] * w for n, w in self.context.items())
-        embedding = np.zeros((len(rows), two.n))
-        if one.vector.size and two.vector.size:
-            embedding = one.vector[rows] @ two.vector.T
-        tfidf = x @ y.T
+        share, topic = self.shares_of(level), (level == self.topic).astype(float)
+        x, y, xu, yu = (m.dense(shared, kind) for kind in ("weight", "unit") for m in (one, two))
+        tfidf, embedding, context, same = np.zeros((4, len(i)))
+        step = max(1, GATHERED // max(1, len(shared), one.vector.shape[1]))
+        for at in range(0, len(i), step):
+            part = slice(at, at + step)
+            a, b = i[part], j[part]
+            tfidf[part] = np.einsum("ij,ij->i", x[a], y[b])
+            both = xu[a] * yu[b]
+            context[part], same[part] = both @ share, both @ topic
+            if one.vector.size and two.vector.size:
+                embedding[part] = np.einsum("ij,ij->i", one.vector[a], two.vector[b])
         mean = tfidf * self.mean["tfidf"] + embedding * self.mean["embedding"]
-        return dict(zip(MATCH_SCORES, (tfidf, embedding, mean, context * (1 - of[self.topic])), strict=True))
+        return [tfidf, embedding, mean, context * (1 - same)]
 
     def bounds(self, units: dict[int, np.ndarray], weights: dict[int, np.ndarray], embedding, signs: np.ndarray) -> np.ndarray:
         """Upper bounds of the score from bounds per level of the unit and weighted products.
@@ -158,8 +196,8 @@ class Scores:
         units, weights = {}, {}
         for n in range(WIDTH):
             at = shared[level == n]
-            units[n] = np.abs(one.dense(at, one.unit)) @ tops.dense(at, tops.unit).T
-            product = np.abs(one.dense(at, one.weight)) @ tops.dense(at, tops.weight).T
+            units[n] = np.abs(one.dense(at, "unit")) @ tops.dense(at, "unit").T
+            product = np.abs(one.dense(at, "weight")) @ tops.dense(at, "weight").T
             weights[n] = np.minimum(product, np.outer(one.norms[:, n], tops.norms[:, n]))
         embedding = np.zeros((one.n, tops.n))
         if self.shares[1] and one.vector.size and tops.centre.size:
@@ -322,16 +360,19 @@ def score_blocks(
                 rows = np.flatnonzero(score.reach(x, floor, top)[1][:, 0])
                 if not len(rows):
                     continue
-                scores = score.matrices(x, y, rows)
-                rank = np.round(scores[score.by], SCORE_DIGITS)
-                rank[ids[rows][:, None] == partners[None, :]] = -np.inf
-                order = np.argsort(-rank, axis=1, kind="stable")[:, :k]
-                tops[rows] = np.sort(np.hstack([tops[rows], np.take_along_axis(rank, order, axis=1)]), axis=1)[:, -k:]
+                ranks = score.ranked(x, y, rows)
+                i, j, rank = best_places(ranks, ids[rows], partners, floor[rows], k, SCORE_DIGITS, SLACK)
+                if not len(i):
+                    continue
+                # The k best so far of the rows that found some.
+                some, row = np.unique(i, return_inverse=True)
+                held = np.full((len(some), k), -np.inf)
+                held[row, np.arange(len(i)) - np.searchsorted(i, some)[row]] = rank
+                tops[rows[some]] = np.sort(np.hstack([tops[rows[some]], held]), axis=1)[:, -k:]
                 floor = np.maximum(floor, tops[:, 0])
-                at = np.repeat(np.arange(len(rows)), order.shape[1]), order.ravel()
-                keep = (rank[at] > -np.inf) & (rank[at] >= np.round(floor[rows], SCORE_DIGITS)[at[0]])
-                at = at[0][keep], at[1][keep]
-                found.append((rows[at[0]], partners[at[1]], rank[at], *[s[at] for s in scores.values()]))
+                keep = rank >= np.round(floor[rows], SCORE_DIGITS)[i]
+                i, j, rank = rows[i[keep]], j[keep], rank[keep]
+                found.append((i, partners[j], rank, *score.values(x, y, i, j)))
             if found:
                 row, partner, rank, *values = map(np.concatenate, zip(*found, strict=True))
                 keep = rank >= np.round(floor[row], SCORE_DIGITS)

@@ -126,3 +126,25 @@ def test_blocks_are_sent_to_groups_not_to_every_block(spark, monkeypatch):
     blocks = met[0]
     assert blocks >= 40 and sum(met) > blocks * blocks / 2
     assert sum(sent) < blocks * (4 + 4 * matches.GROUPS) and sum(sent) < sum(met)
+
+
+def test_only_what_reaches_the_floor_is_sorted(monkeypatch):
+    draw = np.random.default_rng(4)
+    ranks = np.round(draw.random((40, 60)), 2)  # many ties
+    ranks[3, 5] = np.nan
+    ids, partners = np.arange(40), np.sort(np.append(np.arange(57), [5, 5, 9]))  # some partners come twice
+    floor = np.where(np.arange(40) % 3 == 0, -np.inf, draw.random(40))
+    floor[1], floor[2] = 0.999, 2.0
+    want = []
+    for a in range(40):
+        order = sorted((-ranks[a, j], j) for j, b in enumerate(partners) if b != a and not np.isnan(ranks[a, j]))
+        want += [(a, j, -r) for r, j in order if -r >= floor[a] - 1e-9][:7]
+    sizes, inner = [], np.lexsort
+    monkeypatch.setattr(np, "lexsort", lambda keys: sizes.append(len(keys[0])) or inner(keys))
+    row, column, rank = matches.best_places(ranks.copy(), ids, partners, floor, 7, 9, 1e-8)
+    monkeypatch.undo()
+    assert list(zip(row.tolist(), column.tolist(), rank.tolist(), strict=True)) == want
+    assert sizes[0] < ranks.size / 2
+    names = [np.array([f"{x:02}" for x in some], dtype=object) for some in (ids, partners)]
+    again = matches.best_places(ranks.copy(), *names, floor, 7, 9, 1e-8)
+    assert np.array_equal(again[1], column)
